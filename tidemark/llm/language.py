@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import label
+from tidemark.session import ship
 
 SIZES = (2, 3, 4, 5)
 SLOTS, HASHES = 1 << 18, 3
@@ -203,6 +204,7 @@ def judge(texts: list[str | None], filters: Filters) -> list[list[tuple[int, str
 
 def lines_of(documents: DataFrame, filters: Filters) -> DataFrame:
     """``doc_id, seg_no, lang, confidence, letters``: every line that has a language."""
+    ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(filters)  # fixed size, see the module
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +223,7 @@ def identify(documents: DataFrame, filters: Filters, aliases: dict[str, str]) ->
     ``seg_no, lang, confidence``.  The document's language is that of most of its letters;
     its confidence is the share of those letters, times the mean confidence of their lines.
     """
+    ship(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((filters, aliases))
     line = "array<struct<seg_no:int,lang:string,confidence:double>>"
     schema = f"doc_id long, lang string, confidence double, named string, labelled string, mixed boolean, lines {line}"

@@ -20,7 +20,8 @@ so a task that runs again draws the same numbers.
 
 Defined results: documents of other or no source, and those without tokens, stay out;
 equal ranks fall to the document id; a source with share 0 or cap 0 contributes nothing;
-the last document is taken if that brings the source nearer to its quota.
+where the next document in order is larger than what is left of a quota, the remaining
+document that comes nearest to it is taken instead, if that helps.
 """
 
 from __future__ import annotations
@@ -106,12 +107,23 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
 
     sure = ranked.filter((F.col("b1") < cut1) | ((F.col("b1") == cut1) & (F.col("b2") < cut2))).select("doc_id", "source", "n_tokens", F.lit(1).alias("extra"))
     edge = ranked.filter((F.col("b1") == cut1) & (F.col("b2") == cut2))
-    before = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source").orderBy("x", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # Taken while the middle of the document still lies inside the quota: the nearer of both sides.
-    taken = edge.filter("n_tokens > 0").withColumn("before", before).filter(F.col("before") + F.col("n_tokens") / 2 <= left).select("doc_id", "source", "n_tokens", F.lit(1).alias("extra"))
+    upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("x", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    edge = edge.withColumn("fits", upto <= left)
+    taken = edge.filter("fits").select("doc_id", "source", "n_tokens", F.lit(1).alias("extra"))
+
+    # What the next document in order would overshoot is filled by the one that leaves least.
+    filled = {r[0]: r[1] for r in taken.groupBy("source").agg(F.sum("n_tokens")).collect()}
+    gaps = {q.source: q.rest - level1[q.source][1] - level2[q.source][1] - filled.get(q.source, 0) for q in owed}
+    gap = by_source(gaps, "double")
+    beyond = ranked.filter((F.col("b1") > cut1) | ((F.col("b1") == cut1) & (F.col("b2") > cut2))).select("doc_id", "source", "n_tokens", "x")
+    beyond = beyond.unionByName(edge.filter("not fits").select("doc_id", "source", "n_tokens", "x")).withColumn("off", F.abs(F.col("n_tokens") - gap))
+    fill = (
+        beyond.filter(F.col("off") < gap).groupBy("source").agg(F.min(F.struct("off", "x", "doc_id", "n_tokens")).alias("m"))
+        .select("m.doc_id", "source", "m.n_tokens", F.lit(1).alias("extra"))
+    )
     whole = by_source({q.source: q.whole for q in owed}, "int")
     certain = ranked.filter(whole > 0).select("doc_id", "source", "n_tokens", whole.alias("extra"))
-    copies = certain.unionByName(sure).unionByName(taken)
+    copies = certain.unionByName(sure).unionByName(taken).unionByName(fill)
     return copies.groupBy("doc_id").agg(F.first("source").alias("source"), F.first("n_tokens").alias("n_tokens"), F.sum("extra").cast("int").alias("copies"))
 
 

@@ -37,6 +37,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern of the public vocabulary: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -158,6 +160,7 @@ def assemble(chunks: list[tuple[str, list[int], list[int], int, int]], enc: tikt
 
 def encode_corpus(documents: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """``doc_id, ids`` for every row of ``documents`` (doc_id, text)."""
+    ship(documents.sparkSession)
     texts = documents.select("doc_id", "text")
     chunks = texts.filter("text is not null and text != ''").mapInPandas(_chunked, "doc_id long, seq int, chunk string")
 
@@ -192,6 +195,7 @@ def encode_corpus(documents: DataFrame, ranks_path: str = DEFAULT_RANKS) -> Data
 
 def count_tokens(documents: DataFrame, *keep: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """``keep`` columns and ``n_tokens`` of every row, without any shuffle."""
+    ship(documents.sparkSession)
     schema = ", ".join([*[f"`{c}` {dict(documents.dtypes)[c]}" for c in keep], "n_tokens long"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
