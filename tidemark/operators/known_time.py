@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 #: Counting buckets for events, and the events a salt is meant to hold.
 BUCKETS, EVENTS_PER_SALT = 1024, 250_000
 TOP = 2**62
@@ -182,7 +184,7 @@ def lookup(events: DataFrame, versions: DataFrame, carry: list[str]) -> DataFram
     ``events``: entity, ``known_us``, ``key`` (valid-time probe; TOP for the last) and the
     columns to carry.  ``versions``: entity, ``known_us``, ``key``, ``value``, ``deleted``.
     """
-    spark = events.sparkSession
+    ship(events.sparkSession)
     usable = F.col("entity").isNotNull() & F.col("known_us").isNotNull()
     none = events.filter(~usable).select(*carry, F.lit("NO_KEY").alias("state"), F.lit(None).cast("string").alias("value"))
     asked = events.filter(usable)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,20 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, so that no executor needs it installed."""
+    sc = spark.sparkContext
+    name = f"tidemark-{sc.applicationId}.zip"
+    if any(name in p for p in sc._python_includes):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-ship-"), name)  # on the driver, which serves it to executors
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("tidemark", os.path.relpath(full, here)))
+    sc.addPyFile(path)
