@@ -45,10 +45,12 @@ LEAST_LETTERS, LEAST_SHARE = 4, 0.5
 #: And by how much its language must lead: words that all languages use decide nothing.
 LEAST_LEAD = 1.01
 #: Bounds on what the filters are fitted on: reference sentences, labelled documents, and their length.
-MAX_SENTENCES, MAX_TRAINING, MAX_TRAINING_CHARS = 100_000, 4_000, 20_000
+MAX_SENTENCES, MAX_TRAINING, MAX_TRAINING_CHARS = 100_000, 2_000, 20_000
 #: A line trains only where its best language beats the second by this factor.
 TRAINING_MARGIN = 1.5
 
+SLICE_CHARS = 500_000
+
 _NOISE = re.compile(r"<\|[^|<>]{0,40}\|>|\\[a-zA-Z]|[!-~]*[0-9][!-~]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,7 +163,10 @@ def fit_filters(samples: DataFrame, documents: DataFrame | None = None, aliases:
     if documents is None or not aliases:
         return first
     named = documents.select("text", label("lang").alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    chosen = named.filter(F.col("lang").isin(list(aliases)) & (F.length("text") <= MAX_TRAINING_CHARS)).orderBy("h", "doc_id").limit(max_training).select("text", "lang").collect()
+    fit = named.filter(F.col("lang").isin(list(aliases)) & (F.length("text") <= MAX_TRAINING_CHARS))
+    # A hash below a threshold: the same documents every time, about max_training of them, never twice as many.
+    share = min(1.0, max_training / max(1, fit.count()))
+    chosen = fit.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * max_training).select("text", "lang").collect()
     more = []
     for text, lang in chosen:
         lines = [_ASIDE.sub(" ", x) for x in text.split("\n")]
@@ -177,6 +182,18 @@ def fit_filters(samples: DataFrame, documents: DataFrame | None = None, aliases:
 
 def judge(texts: list[str | None], filters: Filters) -> list[list[tuple[int, str, float, int]]]:
     """Per text the lines that have a language: number, language, confidence, letters."""
+    out, at = [], 0
+    while at < len(texts):  # in slices, so that the arrays stay small whatever the batch
+        end, chars = at, 0
+        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS):
+            chars += len(texts[end] or "")
+            end += 1
+        out += _judge(texts[at:end], filters)
+        at = end
+    return out
+
+
+def _judge(texts: list[str | None], filters: Filters) -> list[list[tuple[int, str, float, int]]]:
     numbers, clean, owner = [], [], []
     for i, text in enumerate(texts):
         no = 0
