@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import known_time
+from tidemark.session import staged
 
 
 def groups(parents: DataFrame, children: DataFrame) -> DataFrame:
@@ -55,7 +56,8 @@ def findings(parents: DataFrame, versions: DataFrame, children: DataFrame, carry
     ``versions``: entity (``table|key``), ``known_us``, ``key``, ``value``, ``deleted``.
     """
     suspects = groups(parents, children).filter("refs > 0 and (has_parent = false or in_doubt)").select("table", "key", "has_parent")
-    rows = children.filter("key is not null").join(suspects, ["table", "key"])
+    # Stored once: both branches below read it, and the lookup reads its branch twice.
+    rows = staged(children.filter("key is not null").join(suspects, ["table", "key"]), "suspect-references")
     kept = ["table", *carry]
     missing = rows.filter("not has_parent").select(*kept, F.lit("MISSING").alias("reason"))
     doubtful = rows.filter("has_parent and at_us is not null").select(
