@@ -54,7 +54,7 @@ def daily_reliability(runs: DataFrame, day: str, seconds: str, failed: Column) -
     The percentile is taken of (value, count) pairs: equal durations are combined first.
     """
     per = runs.groupBy(day, seconds).agg(F.count(F.lit(1)).alias("c"), F.count_if(failed).alias("f"))
-    return per.groupBy(day).agg(F.sum("c").alias("runs"), F.sum("f").alias("failed_runs"), F.percentile(seconds, F.lit(0.95), "c").alias("p95_seconds"))
+    return per.groupBy(day).agg(F.sum("c").alias("runs"), F.sum("f").alias("failed_runs"), F.percentile(F.col(seconds), F.lit(0.95), F.col("c")).alias("p95_seconds"))
 
 
 def performance(df: DataFrame) -> Column:

@@ -10,7 +10,6 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import as_ts, code
 
@@ -75,7 +74,7 @@ def delay_seconds(arrival: Column | str, event: Column | str) -> Column:
     return F.unix_timestamp(as_ts(arrival)) - F.unix_timestamp(as_ts(event))
 
 
-PAYLOAD = T.StructType.fromDDL(
+PAYLOAD = (
     "simulated_arrival_at string, scenario string, payload struct<event_id string, event_type string, event_timestamp string, sequence_number bigint,"
     " transaction struct<transaction_id string, account_id string, merchant_id string, event_timestamp string, amount string, currency string, channel string,"
     " payment_method string, status string, card_present boolean, device_id string, ip_address string, country string>>"
@@ -89,7 +88,7 @@ def decode_messages(records: DataFrame) -> DataFrame:
     fields, so it reaches quarantine instead of failing the flow; values of the wrong
     type become null by ``try_`` casts.
     """
-    held = T.StructType([*PAYLOAD.fields, T.StructField("_bad", T.StringType())])
+    held = f"{PAYLOAD}, _bad string"
     raw = records.withColumn("raw", F.col("value").cast("string"))
     parsed = raw.withColumn("j", F.from_json("raw", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     e, t = "j.payload", "j.payload.transaction"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.queries import payments, payments_sql
+from tidemark.queries import core, core_sql, payments, payments_sql
 
 
 def all_queries() -> dict:
-    return payments.queries()
+    return payments.queries() | core.queries()
 
 
 def all_sql() -> dict[str, str]:
-    return payments_sql.sql()
+    return payments_sql.sql() | core_sql.sql()

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tidemark.operators.standardize import blank_to_null
 from tidemark.session import shared_root
@@ -22,13 +21,13 @@ def with_lineage(df: DataFrame, loaded_at: str | None = None) -> DataFrame:
     return df.select("*", *[F.col(path).alias(name) for name, path in LINEAGE.items()], at.alias("bronze_ingested_at"))
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: StructType, loaded_at: str | None = None) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str, loaded_at: str | None = None) -> DataFrame:
     """JSON lines below ``path`` at any depth; malformed fields are null, never an error."""
     raw = spark.read.schema(schema).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(path)
     return with_lineage(raw, loaded_at)
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, loaded_at: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str, loaded_at: str | None = None) -> DataFrame:
     return with_lineage(spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path), loaded_at)
 
 
@@ -41,7 +40,7 @@ def fraud_cases(spark: SparkSession, path: str, loaded_at: str | None = None) ->
     return read_csv(spark, path, schemas.FRAUD_CASES, loaded_at).withColumn("closed_at", blank_to_null("closed_at", "timestamp"))
 
 
-def stream_csv(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+def stream_csv(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
     """A directory of CSV files as a stream, existing files included."""
     reader = spark.readStream.schema(schema).option("header", True)
     if files_per_trigger:
@@ -49,7 +48,7 @@ def stream_csv(spark: SparkSession, path: str, schema: StructType, files_per_tri
     return with_lineage(reader.csv(path))
 
 
-def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
     """A stored table as a stream of its new files."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
