@@ -235,4 +235,10 @@ SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_numbe
     q["agent_run_summary"] = f"""WITH {_CASES}, m AS (SELECT 'run-1' AS run_id, count(*) AS cases, avg((len(reasons) = 0)::INT) AS pr, avg(tool_selection) AS ts, avg(safety) AS sa FROM s3),
 g AS (SELECT *, list_filter([CASE WHEN pr >= 0.85 THEN NULL ELSE 'pass_rate' END, CASE WHEN ts >= 0.9 THEN NULL ELSE 'mean_tool_selection' END, CASE WHEN sa >= 1 THEN NULL ELSE 'mean_safety' END], lambda x: x IS NOT NULL) AS failed FROM m)
 SELECT run_id, cases, round(pr, 9) AS pass_rate, round(ts, 9) AS mean_tool_selection, round(sa, 9) AS mean_safety, array_to_string(failed, ',') AS failed_gates, len(failed) = 0 AS overall_pass FROM g"""
+    q["payment_events_stream"] = f"WITH {_EV} SELECT DISTINCT event_id FROM ev WHERE event_id IS NOT NULL AND event_timestamp IS NOT NULL"
+    q["cdc_stream"] = q["scd1_current"]
+    q["load_once"] = f"WITH {_TX} SELECT transaction_status AS status, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount_sum, true AS loaded_first, 0 AS loaded_again FROM tx WHERE event_date IS NOT NULL GROUP BY 1"
+    q["dataset_graph"] = f"WITH {_DQ} SELECT {_DAY}, currency, count(*) AS payments, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount_sum FROM dq WHERE len(failed) = 0 GROUP BY event_date, currency"
+    q["grants_check"] = """WITH h AS (SELECT DISTINCT n_name AS principal, 'SELECT' AS privilege, CAST(n_regionkey AS VARCHAR) AS securable FROM nation), e AS (SELECT r_name AS principal, 'SELECT' AS privilege, CAST(r_regionkey AS VARCHAR) AS securable FROM region)
+SELECT *, 'MISSING' AS finding FROM (SELECT * FROM e EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'UNEXPECTED' FROM (SELECT * FROM h EXCEPT SELECT * FROM e)"""
     return q

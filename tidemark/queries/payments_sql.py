@@ -58,6 +58,7 @@ SELECT eid AS event_id, strftime(ts, '%Y-%m-%d %H') AS event_hour, outcome FROM
 f AS (SELECT date_trunc('hour', ts) AS h, amount, CASE WHEN delay > 7200000000 THEN epoch_us(arr) // 600000000 END AS ep FROM e WHERE delay <= 21600000000)
 SELECT strftime(h, '%Y-%m-%d %H') AS event_hour, count(*) AS event_count, CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS amount_sum, CAST(count(DISTINCT ep) AS INTEGER) AS corrections FROM f GROUP BY h"""
     q["p4_daily"] = f"""WITH {timed} SELECT strftime(ts, '%Y-%m-%d') AS event_date, count(*) AS event_count, CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS amount_sum FROM e WHERE delay <= 21600000000 GROUP BY 1"""
+    q["late_stream"] = f"""WITH {timed} SELECT strftime(ts, '%Y-%m-%d %H') AS event_hour, count(*) AS event_count, CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS amount_sum FROM e WHERE delay <= 21600000000 GROUP BY 1"""
     roll = f"""{_TXN},
 pay AS (SELECT 'customer' AS kind, customer_id AS id, CAST(ts AS DATE) AS d, coalesce(amount, 0) AS a FROM t WHERE ts IS NOT NULL AND customer_id IS NOT NULL
         UNION ALL SELECT 'merchant', merchant_id, CAST(ts AS DATE), coalesce(amount, 0) FROM t WHERE ts IS NOT NULL AND merchant_id IS NOT NULL),
