@@ -13,6 +13,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import work_dir
+
 
 def curve(scored: DataFrame, score: str, label: str, by: Sequence[str] = (), bins: int | None = None) -> DataFrame:
     """Per distinct score, from high to low: cumulative true and false positives and the totals.
@@ -83,10 +85,19 @@ def fit_candidates(train: DataFrame, features: Sequence[str], label: str):
     weighted = train.withColumn("__w", F.when(F.col(label) == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))))
     assemble = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep")
     scale = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True)
-    return {
-        "logistic_regression": Pipeline(stages=[assemble, scale, LogisticRegression(featuresCol="__z", labelCol=label, weightCol="__w", maxIter=50)]).fit(weighted),
-        "gradient_boosting": Pipeline(stages=[assemble, GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=10, maxDepth=4, seed=7)]).fit(weighted),
+    made = {
+        "logistic_regression": [assemble, scale, LogisticRegression(featuresCol="__z", labelCol=label, weightCol="__w", maxIter=50)],
+        "gradient_boosting": [assemble, GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=10, maxDepth=4, seed=7)],
     }
+    return {name: _stored(Pipeline(stages=stages).fit(weighted), work_dir(train.sparkSession, name)) for name, stages in made.items()}
+
+
+def _stored(model, path: str):
+    """Save and load: what is loaded is the model alone, without its training summary and session."""
+    from pyspark.ml import PipelineModel
+
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
 def predict(model, rows: DataFrame, threshold: float, **columns: str) -> DataFrame:

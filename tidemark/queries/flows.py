@@ -9,7 +9,7 @@ from tidemark.functions import ident, micros, table
 from tidemark.operators import exactly_once, features, governance, metrics, quality, scoring
 from tidemark.plans.graph import Graph
 from tidemark.queries import base, payments
-from tidemark.session import work_dir
+from tidemark.session import staged, work_dir
 from tidemark.sources import files
 from tidemark.streaming import flows
 
@@ -95,7 +95,8 @@ def fraud_model(spark: SparkSession, sf: str) -> DataFrame:
     names = ["amount", "amount_log1p", "hour_of_day", "is_weekend", "is_cross_border", "is_card_not_present", "is_pos", "is_ecommerce"]
     label = base.transactions(spark, sf).select("transaction_id", F.coalesce(F.col("transaction_status") == "DECLINED", F.lit(False)).cast("int").alias("label"))
     table_ = features.finite(rows.withColumns({n: F.col(n).cast("double") for n in names}), names).join(label, "transaction_id")
-    split = features.temporal_split(table_, "transaction_event_timestamp", "transaction_id")
+    # Stored once: the iterative fits read it many times.
+    split = staged(features.temporal_split(table_, "transaction_event_timestamp", "transaction_id").select("transaction_id", "label", "split", *names), "training")
     parts = {s: split.filter(F.col("split") == s) for s in ("train", "validation", "test")}
     fitted = scoring.fit_candidates(parts["train"], names, "label")
     best, best_key = None, None
