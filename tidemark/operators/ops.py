@@ -102,3 +102,12 @@ def cost_spike(daily: DataFrame, day: str, cost: str, factor: float = 2.0, least
     num = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     before = F.avg(cost).over(Window.partitionBy(F.lit(0)).orderBy(num).rangeBetween(-7, -1))
     return daily.withColumn("prior_mean", before).withColumn("is_spike", F.coalesce((F.col(cost) > least) & (F.col(cost) > factor * F.col("prior_mean")), F.lit(False)))
+
+
+def in_scope(rows: DataFrame, scope: DataFrame, key: str, account_level: str | None = None) -> DataFrame:
+    """Rows whose key is in the scope set, or that belong to the account as a whole."""
+    marked = rows.join(scope.select(F.col(key).alias("__scope")).distinct(), F.col(key) == F.col("__scope"), "left")
+    ok = F.col("__scope").isNotNull()
+    if account_level is not None:
+        ok = ok | (F.col(key).cast("string") == account_level)
+    return marked.filter(ok).drop("__scope")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.queries import core, core_sql, flows, payments, payments_sql
+from tidemark.queries import core, core_sql, flows, payments, payments_sql, platform
 
 
 def all_queries() -> dict:
-    return payments.queries() | core.queries() | flows.queries()
+    return payments.queries() | core.queries() | flows.queries() | platform.queries()
 
 
 def all_sql() -> dict[str, str]:

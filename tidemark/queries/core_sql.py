@@ -241,4 +241,33 @@ SELECT run_id, cases, round(pr, 9) AS pass_rate, round(ts, 9) AS mean_tool_selec
     q["dataset_graph"] = f"WITH {_DQ} SELECT {_DAY}, currency, count(*) AS payments, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount_sum FROM dq WHERE len(failed) = 0 GROUP BY event_date, currency"
     q["grants_check"] = """WITH h AS (SELECT DISTINCT n_name AS principal, 'SELECT' AS privilege, CAST(n_regionkey AS VARCHAR) AS securable FROM nation), e AS (SELECT r_name AS principal, 'SELECT' AS privilege, CAST(r_regionkey AS VARCHAR) AS securable FROM region)
 SELECT *, 'MISSING' AS finding FROM (SELECT * FROM e EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'UNEXPECTED' FROM (SELECT * FROM h EXCEPT SELECT * FROM e)"""
+    q["scoped_audit"] = """WITH sc AS (SELECT user_id FROM events WHERE event_type = 'purchase' UNION SELECT user_id FROM events WHERE event_type = 'error')
+SELECT event_type, count(*) AS entries, count(DISTINCT coalesce(CASE WHEN value > 50 THEN 'svc-' || user_id END, CAST(user_id AS VARCHAR), 'unknown')) AS actors FROM events WHERE user_id IN (SELECT user_id FROM sc) OR CAST(user_id AS VARCHAR) = '0' GROUP BY 1"""
+    q["operations_summary"] = f"""WITH {_TX}, {_EV}, d AS (SELECT event_id, count(*) AS n, CAST(count(DISTINCT kafka_offset) AS INTEGER) AS o FROM ev WHERE event_id IS NOT NULL GROUP BY 1),
+m AS (SELECT * FROM (SELECT {_code('risk_rating')} AS rr, row_number() OVER (PARTITION BY {_ident('merchant_id')} ORDER BY snapshot_at DESC, record_version DESC) AS rn FROM merchant_snapshots WHERE merchant_id IS NOT NULL) WHERE rn = 1)
+SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM tx WHERE transaction_status = 'DECLINED') AS declined, (SELECT count(*) FROM tx WHERE amount IS NULL OR amount <= 0) AS bad_amounts, (SELECT count(*) FROM d WHERE n > 1) AS repeated_events, (SELECT max(n) FROM d) AS most_deliveries, (SELECT max(o) FROM d) AS most_offsets, (SELECT count(*) FROM m WHERE rr = 'HIGH') AS high_risk_merchants"""
+    sources = " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS rows FROM {t}" for t in ("payment_events", "payment_transactions_enriched", "master_data_cdc", "accounts", "merchant_history", "merchant_snapshots", "documents"))
+    q["source_readiness"] = f"WITH s AS ({sources}) SELECT *, CASE WHEN rows = 0 THEN 'EMPTY' WHEN rows < 1000 THEN 'SMALL' ELSE 'READY' END AS status FROM s"
+    q["warehouse_health"] = f"""WITH {_CUS}, {_ACC}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY record_version DESC) AS rn FROM clog) WHERE rn = 1 AND NOT is_deleted),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY source_updated_at DESC, account_id DESC, record_version DESC) AS rn FROM alog WHERE customer_id IS NOT NULL) WHERE rn = 1)
+SELECT c.customer_status, coalesce(a.account_status, 'NEVER_RUN') AS health, count(*) AS definitions FROM c LEFT JOIN a ON a.customer_id = c.customer_id GROUP BY ALL"""
+    q["model_health"] = f"""WITH {_TX}, r AS (SELECT max(event_timestamp) AS at, arg_max(transaction_id, (event_timestamp, transaction_id)) AS t, avg(CASE WHEN transaction_status = 'DECLINED' THEN 1.0::DOUBLE ELSE 0 END) AS d FROM tx WHERE event_timestamp IS NOT NULL)
+SELECT {ts.format('at')} AS last_at, t AS last_transaction, round(d, 9) AS decline_rate, CASE WHEN epoch(TIMESTAMP '2026-08-01') - floor(epoch(at)) <= 86400 THEN 'RECENT' WHEN epoch(TIMESTAMP '2026-08-01') - floor(epoch(at)) <= 604800 THEN 'AGING' ELSE 'STALE' END AS freshness FROM r""".replace(" AS at,", " AS ats,").replace("(at)", "(ats)").replace("strftime(at,", "strftime(ats,")
+    q["golden_cases"] = f"""WITH {_TX}, {_EV}, r AS (SELECT transaction_id, amount, country FROM tx WHERE amount IS NOT NULL), d AS (SELECT transaction_id, count(*) AS n FROM ev WHERE transaction_id IS NOT NULL GROUP BY 1 HAVING count(*) > 2),
+u AS ((SELECT 'greatest' AS case_kind, transaction_id, amount FROM r ORDER BY amount DESC, transaction_id LIMIT 3) UNION ALL (SELECT 'least', transaction_id, amount FROM r ORDER BY amount, transaction_id LIMIT 3) UNION ALL (SELECT 'abroad', transaction_id, amount FROM r WHERE country <> 'AU' ORDER BY amount DESC, transaction_id LIMIT 2)
+ UNION ALL (SELECT 'nearest_100', transaction_id, amount FROM r ORDER BY abs(amount - 100), transaction_id LIMIT 1) UNION ALL (SELECT 'repeated', r.transaction_id, r.amount FROM d JOIN r ON r.transaction_id = d.transaction_id ORDER BY d.n DESC, r.transaction_id LIMIT 2))
+SELECT case_kind, transaction_id, CAST(amount AS DOUBLE) AS amount FROM u"""
+    q["promotion_gates"] = f"""WITH a AS ({q['score_areas']}), w AS ({q['seasonal_naive']}), b AS (WITH {_SCORED} SELECT avg(label) AS base_rate FROM sc),
+g AS (SELECT list_filter([CASE WHEN average_precision >= base_rate THEN NULL ELSE 'average_precision_above_base_rate' END, CASE WHEN roc_auc > 0.9 THEN NULL ELSE 'roc_auc_above_0.9' END, CASE WHEN wape <= 1 THEN NULL ELSE 'wape_at_most_1' END], lambda x: x IS NOT NULL) AS f FROM a, w, b) SELECT array_to_string(f, ',') AS failed_gates, len(f) = 0 AS passed FROM g"""
+    q["measure_agents"] = f"WITH {_CASES} SELECT len(reasons) = 0 AS passed, count(*) AS cases, CAST(count(*) FILTER (len(reasons) = 0) AS DOUBLE) / count(*) AS pass_rate, {_n('safety = 1')} AS safe, CAST(max(len(tools)) AS INTEGER) AS most_calls, CAST(sum(len(tools)) AS BIGINT) AS tools FROM s3 JOIN tl USING (transaction_id) GROUP BY 1"
+    price = """pr AS (SELECT n_nationkey % 10 AS sku, 1990 + (n_nationkey // 10) * 4 AS y FROM nation), pp AS (SELECT sku, make_timestamp(y, 1, 1, 0, 0, 0) AS s, CASE WHEN y < 1998 THEN make_timestamp(y + 4, 1, 1, 0, 0, 0) END AS e, (sku + 1) * (y - 1988) AS price FROM pr)"""
+    q["cost_by_sku"] = f"""WITH {_USAGE}, {price}, j AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, us.sku, sum(q * price) AS cost FROM us JOIN pp ON pp.sku = us.sku AND s <= l_shipdate AND (e IS NULL OR l_shipdate < e) GROUP BY ALL)
+SELECT month, sku, CAST(cost AS DOUBLE) AS cost, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY cost DESC, sku) AS rank FROM j) WHERE rank <= 3"""
+    q["price_overlap"] = f"WITH {_USAGE}, {price} SELECT us.sku, count(*) AS rows, {_n('price IS NULL')} AS unpriced, CAST(max(price) AS DOUBLE) AS highest FROM us LEFT JOIN pp ON pp.sku = us.sku AND s <= l_shipdate AND (e IS NULL OR l_shipdate < e) GROUP BY 1"
+    q["rag_context"] = f"""WITH k AS ({q['keyword_topk']}), j AS (SELECT query_id, sum(len('[SOURCE ' || k.doc_id || ']' || chr(10) || substring(d."text", 1, 40))) + 2 * (count(*) - 1) AS n FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY 1) SELECT query_id, CAST(n AS INTEGER) AS context_length, true AS valid, false AS with_foreign FROM j"""
+    q["evidence_view"] = f"WITH {_TX}, f AS ({inner('customer_id', 'customer')}) SELECT tx.transaction_id, CAST(tx.amount AS DOUBLE) AS amount, customer_txn_count_1d, customer_txn_count_30d FROM tx LEFT JOIN f ON f.customer_id = tx.customer_id AND f.feature_timestamp = tx.event_timestamp"
+    q["quarantine_reasons"] = f"WITH {_DQ} SELECT count(DISTINCT CASE WHEN len(failed) > 0 THEN transaction_id END) AS quarantined_transactions, count(DISTINCT CASE WHEN len(failed) > 0 THEN merchant_id END) AS quarantined_merchants, count(DISTINCT CASE WHEN len(failed) = 0 THEN merchant_id END) AS valid_merchants, CAST(max(len(failed)) AS INTEGER) AS most_failures FROM dq"
+    q["response_sections"] = f"WITH {_CASES} SELECT t.title, count(*) AS sections, CAST(sum(CASE WHEN t.title = 'Summary' THEN len(tools) ELSE 0 END) AS BIGINT) AS items FROM s3 JOIN tl USING (transaction_id), (VALUES ('Summary'), ('Evidence')) t(title) GROUP BY 1"
+    q["batch_scoring"] = f"WITH {_SCORED} SELECT score, label FROM sc ORDER BY score DESC, label NULLS FIRST LIMIT 100"
+    q["last_seen"] = f"WITH {_TX}, {_EV}, a AS (SELECT merchant_id, strftime(max(event_timestamp), '%Y-%m-%d') AS last_paid FROM tx WHERE merchant_id IS NOT NULL GROUP BY 1), b AS (SELECT merchant_id, strftime(max(kafka_timestamp), '%Y-%m-%d') AS last_delivered FROM ev WHERE merchant_id IS NOT NULL GROUP BY 1) SELECT coalesce(a.merchant_id, b.merchant_id) AS merchant_id, last_paid, last_delivered FROM a FULL JOIN b ON a.merchant_id = b.merchant_id"
     return q
