@@ -28,7 +28,7 @@ def encode(text):
     return tokens.assemble(parts, enc)
 
 
-PIECES = ["'", "l", "r", "e", "v", " ", "  ", "\n", "\t", "\r\n", " ", "1", "é", "日", "!", "<|endoftext|>", "🇦🇺", "'ll", "'re", "x" * 30, "s", "d", "word ", "́", "﻿"]
+PIECES = ["'", "l", "r", "e", "v", " ", "  ", "\n", "\t", "\r\n", " ", "1", "é", "日", "!", "<|endoftext|>", "🇦🇺", "'ll", "'re", "x" * 30, "s", "d", "word ", "\u0301", "\ufeff", "\x1c", "\x85", "\u3000", "\ua7ce", "\U000323b0"]
 
 
 @settings(max_examples=300, deadline=None)

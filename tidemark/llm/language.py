@@ -9,7 +9,7 @@ are taken off, and the greatest corrected count decides.
 The filters are fitted on the correctly labelled reference sentences (at most
 MAX_SENTENCES) and then on lines of at most MAX_TRAINING labelled documents, chosen by a
 hash of their id, whose label the first filters confirm.  They are two megabytes of fixed
-size whatever the corpus.  Documents are scored in one pass of ``mapInPandas`` without any shuffle: counting
+size whatever the corpus.  Documents are scored in one pass of ``mapInArrow`` without any shuffle: counting
 is vectorised over a batch, one row per document and line comes out.
 
 Letters are folded (lower case, no accents), so stripped accents and shouting do not
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -219,20 +219,6 @@ def _judge(texts: list[str | None], filters: Filters) -> list[list[tuple[int, st
     return out
 
 
-def lines_of(documents: DataFrame, filters: Filters) -> DataFrame:
-    """``doc_id, seg_no, lang, confidence, letters``: every line that has a language."""
-    ship(documents.sparkSession)
-    held = documents.sparkSession.sparkContext.broadcast(filters)  # fixed size, see the module
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"].tolist()
-            rows = [(i, *x) for i, found in zip(ids, judge(batch["text"].tolist(), held.value), strict=True) for x in found]
-            yield pd.DataFrame(rows, columns=["doc_id", "seg_no", "lang", "confidence", "letters"])
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, seg_no int, lang string, confidence double, letters long")
-
-
 def identify(documents: DataFrame, filters: Filters, aliases: dict[str, str]) -> DataFrame:
     """One row per document: its own language, what its label names, and the lines behind it.
 
@@ -244,19 +230,22 @@ def identify(documents: DataFrame, filters: Filters, aliases: dict[str, str]) ->
     held = documents.sparkSession.sparkContext.broadcast((filters, aliases))
     line = "array<struct<seg_no:int,lang:string,confidence:double>>"
     schema = f"doc_id long, lang string, confidence double, named string, labelled string, mixed boolean, lines {line}"
+    segment = pa.list_(pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+    kinds = [pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_(), segment]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names = held.value
-        for batch in batches:
-            rows = []
-            for doc, tag, found in zip(batch["doc_id"].tolist(), batch["lang"].tolist(), judge(batch["text"].tolist(), model), strict=True):
-                size, sure = {}, {}
-                for _, lang, confidence, letters in found:
-                    size[lang] = size.get(lang, 0) + letters
-                    sure[lang] = sure.get(lang, 0.0) + letters * confidence
-                best = min(size, key=lambda g: (-size[g], g)) if size else None
-                confidence = sure[best] / sum(size.values()) if best else 0.0
-                rows.append((doc, best, confidence, names.get(tag) if tag else None, tag, len(size) > 1, [{"seg_no": n, "lang": g, "confidence": c} for n, g, c, _ in found]))
-            yield pd.DataFrame(rows, columns=["doc_id", "lang", "confidence", "named", "labelled", "mixed", "lines"])
-
-    return documents.select("doc_id", "text", label("lang").alias("lang")).mapInPandas(run, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch, rows = whole.slice(at, 512), []
+                for doc, tag, found in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), judge(batch["text"].to_pylist(), model), strict=True):
+                    size, sure = {}, {}
+                    for _, lang, confidence, letters in found:
+                        size[lang] = size.get(lang, 0) + letters
+                        sure[lang] = sure.get(lang, 0.0) + letters * confidence
+                    best = min(size, key=lambda g: (-size[g], g)) if size else None
+                    confidence = sure[best] / sum(size.values()) if best else 0.0
+                    rows.append((doc, best, confidence, names.get(tag) if tag else None, tag, len(size) > 1, [{"seg_no": n, "lang": g, "confidence": c} for n, g, c, _ in found]))
+                yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "lang", "confidence", "named", "labelled", "mixed", "lines"])
+
+    return documents.select("doc_id", "text", label("lang").alias("lang")).mapInArrow(run, schema)

@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -44,9 +45,12 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Rolling window, mean and greatest length of chunks, in characters.
-WINDOW, MEAN, GREATEST = 16, 256, 4096
+WINDOW, MEAN, GREATEST = 16, 64, 4096
 #: Pieces held back at the end of a chunk, and boundaries kept at its start.
-HELD, HEAD = 3, 8
+HELD, HEAD = 3, 4
+
+
+_SPACE = regex.compile(r"\s")
 
 
 @lru_cache(4)
@@ -61,12 +65,23 @@ def _pieces() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
+@lru_cache(1)
+def _unassigned() -> np.ndarray:
+    return np.array([unicodedata.category(chr(cp)) == "Cn" for cp in range(0x110000)])
+
+
 def cut_points(text: str) -> list[int]:
-    """Ends of the chunks of ``text``: where the hash of the last WINDOW characters says so."""
+    """Ends of the chunks of ``text``: where the hash of the last WINDOW characters says so.
+
+    A text with code points that Unicode has not assigned is one chunk: libraries of
+    different age disagree on whether those are letters, and so on where pieces end.
+    """
     n = len(text)
     if n <= WINDOW:
         return [n] if n else []
     cps = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    if _unassigned()[cps].any():
+        return [n]
     h = np.zeros(n - WINDOW + 1, dtype=np.uint32)
     for j in range(WINDOW):
         h *= np.uint32(0x01000193)
@@ -90,40 +105,80 @@ def cut_points(text: str) -> list[int]:
     return out
 
 
-def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: what Python holds does not grow with the Arrow batch."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
         ids, seqs, chunks = [], [], []
-        for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+        for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             at = 0
             for seq, end in enumerate(cut_points(text or "")):
                 ids.append(doc)
                 seqs.append(seq)
                 chunks.append(text[at:end])
                 at = end
-        yield pd.DataFrame({"doc_id": np.array(ids, dtype=np.int64), "seq": np.array(seqs, dtype=np.int32), "chunk": chunks})
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(chunks, pa.string())], ["doc_id", "seq", "chunk"])
 
 
 def encode_chunk(chunk: str, enc: tiktoken.Encoding) -> tuple[list[int], list[int], int, int]:
     """Ids; boundaries at the start as (characters, ids) pairs, flat; characters and ids before the held-back end."""
     ids = enc.encode_ordinary(chunk)
-    ends = [m.end() for m in _pieces().finditer(chunk)]
+    tail = _last_pieces(chunk)
+    if not tail:
+        return ids, [0, 0], 0, 0
+    tail_chars = len(chunk) - sum(map(len, tail))
     head, chars, count = [0, 0], 0, 0
-    for end in ends[: max(0, min(HEAD, len(ends) - HELD))]:
-        count += len(enc.encode_ordinary(chunk[chars:end]))
-        chars = end
+    for m in _pieces().finditer(chunk):
+        if m.end() > tail_chars or len(head) > 2 * HEAD:
+            break
+        count += len(_encoded([m.group()], enc))
+        chars = m.end()
         head += [chars, count]
-    if len(ends) <= HELD:
-        return ids, [0, 0], 0, 0
-    tail = ends[-HELD - 1]
-    return ids, head, tail, len(ids) - sum(len(enc.encode_ordinary(chunk[a:b])) for a, b in zip(ends[-HELD - 1 : -1], ends[-HELD:], strict=True))
+    return ids, head, tail_chars, len(ids) - len(_encoded(tail, enc))
+
+
+def _last_pieces(chunk: str) -> list[str]:
+    """The last HELD pieces, or none where the chunk has no more than that.
+
+    White space behind anything else always begins a piece, so scanning may start at such a
+    place near the end instead of at the beginning.
+    """
+    at = len(chunk)
+    for _ in range(HELD + 2):
+        at = chunk.rfind(" ", 0, at)
+        if at <= 0:
+            at = 0
+            break
+    while at > 0 and _SPACE.fullmatch(chunk[at - 1]):
+        at -= 1
+    found = [m.group() for m in _pieces().finditer(chunk, at)]
+    if len(found) <= HELD:
+        found = [m.group() for m in _pieces().finditer(chunk)]
+    return found[-HELD:] if len(found) > HELD else []
+
+
+@lru_cache(1 << 17)
+def _piece(piece: str, enc: tiktoken.Encoding) -> list[int]:
+    return enc.encode_ordinary(piece)
 
 
 def _encoded(pieces: list[str], enc: tiktoken.Encoding) -> list[int]:
-    return [i for p in pieces for i in enc.encode_ordinary(p)]
+    """Ids of pieces; short ones, which recur, are remembered."""
+    out: list[int] = []
+    for p in pieces:
+        out += _piece(p, enc) if len(p) <= 32 else enc.encode_ordinary(p)
+    return out
 
 
 def assemble(chunks: list[tuple[str, list[int], list[int], int, int]], enc: tiktoken.Encoding) -> list[int]:
     """The ids of the text that the encoded chunks make, equal to encoding it whole."""
+    if len(chunks) == 1:
+        return chunks[0][1]
     out: list[int] = []
     held, need = "", 0  # text behind the last exact boundary; length at which it is scanned again
     for text, ids, head, tail_chars, tail_ids in chunks:
@@ -162,33 +217,36 @@ def encode_corpus(documents: DataFrame, ranks_path: str = DEFAULT_RANKS) -> Data
     """``doc_id, ids`` for every row of ``documents`` (doc_id, text)."""
     ship(documents.sparkSession)
     texts = documents.select("doc_id", "text")
-    chunks = texts.filter("text is not null and text != ''").mapInPandas(_chunked, "doc_id long, seq int, chunk string")
+    chunks = texts.filter("text is not null and text != ''").mapInArrow(_chunked, "doc_id long, seq int, chunk string")
+
+    whole = pa.list_(pa.int32())
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            rows = [encode_chunk(c, enc) for c in batch["chunk"]]
-            yield pd.DataFrame({"chunk": batch["chunk"], "ids": [r[0] for r in rows], "head": [r[1] for r in rows], "tail_chars": [r[2] for r in rows], "tail_ids": [r[3] for r in rows]})
+        for batch in _slices(batches, 4096):
+            rows = [encode_chunk(c, enc) for c in batch["chunk"].to_pylist()]
+            columns = [batch["chunk"], *[pa.array([r[i] for r in rows], t) for i, t in enumerate((whole, whole, pa.int32(), pa.int32()))]]
+            yield pa.record_batch(columns, ["chunk", "ids", "head", "tail_chars", "tail_ids"])
 
-    once = chunks.select("chunk").distinct().mapInPandas(encode, "chunk string, ids array<int>, head array<int>, tail_chars int, tail_ids int")
+    once = chunks.select("chunk").distinct().mapInArrow(encode, "chunk string, ids array<int>, head array<int>, tail_chars int, tail_ids int")
     joined = chunks.join(once, "chunk")
     parts = F.sort_array(F.collect_list(F.struct("seq", "chunk", "ids", "head", "tail_chars", "tail_ids")))
     docs = joined.groupBy("doc_id").agg(parts.alias("parts"))
 
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
+        for batch in _slices(batches, 128):
             made = []
-            for parts in batch["parts"]:
+            for parts in batch["parts"].to_pylist():
                 done, seen = [], -1
                 for p in parts:
                     if p["seq"] != seen:  # a repeated row repeats its chunks
-                        done.append((p["chunk"], list(p["ids"]), list(p["head"]), int(p["tail_chars"]), int(p["tail_ids"])))
+                        done.append((p["chunk"], p["ids"], p["head"], p["tail_chars"], p["tail_ids"]))
                         seen = p["seq"]
                 made.append(assemble(done, enc))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": made})
+            yield pa.record_batch([batch["doc_id"], pa.array(made, whole)], ["doc_id", "ids"])
 
-    full = docs.mapInPandas(put_together, "doc_id long, ids array<int>")
+    full = docs.mapInArrow(put_together, "doc_id long, ids array<int>")
     empty = texts.filter("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
     return full.unionByName(empty)
 
@@ -198,11 +256,10 @@ def count_tokens(documents: DataFrame, *keep: str, ranks_path: str = DEFAULT_RAN
     ship(documents.sparkSession)
     schema = ", ".join([*[f"`{c}` {dict(documents.dtypes)[c]}" for c in keep], "n_tokens long"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
-        for batch in batches:
-            out = batch[list(keep)].copy()
-            out["n_tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in batch["text"]]
-            yield out
+        for batch in _slices(batches):
+            n = pa.array([len(enc.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()], pa.int64())
+            yield pa.record_batch([*[batch[c] for c in keep], n], [*keep, "n_tokens"])
 
-    return documents.select(*keep, "text").mapInPandas(count, schema)
+    return documents.select(*keep, "text").mapInArrow(count, schema)
