@@ -112,6 +112,11 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    values, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return [values[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         ids, seqs, chunks = [], [], []
@@ -236,14 +241,15 @@ def encode_corpus(documents: DataFrame, ranks_path: str = DEFAULT_RANKS) -> Data
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for batch in _slices(batches, 128):
-            made = []
-            for parts in batch["parts"].to_pylist():
-                done, seen = [], -1
-                for p in parts:
-                    if p["seq"] != seen:  # a repeated row repeats its chunks
-                        done.append((p["chunk"], p["ids"], p["head"], p["tail_chars"], p["tail_ids"]))
-                        seen = p["seq"]
-                made.append(assemble(done, enc))
+            # Column by column: no object per chunk but its text and its ids
+            seq, chunk, ids, head, tail_chars, tail_ids = batch["parts"].flatten().flatten()
+            ends = np.cumsum(batch["parts"].value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            rows = zip(chunk.to_pylist(), _lists(ids), _lists(head), tail_chars.to_pylist(), tail_ids.to_pylist(), strict=True)
+            numbered, at, made = list(zip(seq.to_pylist(), rows, strict=True)), 0, []
+            for end in ends:
+                # a repeated row repeats its chunks, side by side
+                made.append(assemble([row for i, (n, row) in enumerate(numbered[at:end]) if i == 0 or n != numbered[at + i - 1][0]], enc))
+                at = end
             yield pa.record_batch([batch["doc_id"], pa.array(made, whole)], ["doc_id", "ids"])
 
     full = docs.mapInArrow(put_together, "doc_id long, ids array<int>")
