@@ -110,7 +110,8 @@ _WRITES = re.compile(r"(?i)\b(insert|update|delete|merge|drop|alter|create|trunc
 
 def read_only(spark: SparkSession, query: str) -> DataFrame:
     """Run a query that only reads.  The text must begin as one and the plan must hold no command."""
-    if not re.match(r"(?is)\s*(select|with)\b", query) or _WRITES.search(re.sub(r"'(?:[^']|'')*'", "''", query)) or ";" in query.strip().rstrip(";"):
+    bare = re.sub(r"'(?:[^']|'')*'", "''", query)  # without string literals
+    if not re.match(r"(?is)\s*(select|with)\b", bare) or _WRITES.search(bare) or ";" in bare.strip().rstrip(";"):
         raise PermissionError("only SELECT statements are allowed")
     df = spark.sql(query)
     if "Command" in df._jdf.queryExecution().analyzed().getClass().getSimpleName():

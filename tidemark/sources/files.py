@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.standardize import blank_to_null
-from tidemark.session import shared_root
+from tidemark.session import shared_root, work_dir
 from tidemark.sources import schemas
 
 LINEAGE = {"source_file": "_metadata.file_path", "source_file_name": "_metadata.file_name"}
@@ -62,9 +62,15 @@ def in_event_order(df: DataFrame, at: str, path: str, buckets: int) -> None:
     A range partitioning by event time makes bucket i entirely earlier than i + 1, and file
     names and modification times rise with it.
     """
-    staged = df.repartitionByRange(buckets, at).withColumn("__b", F.spark_partition_id())
-    for b in range(buckets):
-        staged.filter(F.col("__b") == b).drop("__b").coalesce(1).write.mode("append").parquet(f"{path}/part={b:05d}")
+    aside = work_dir(df.sparkSession, "event-order")
+    df.repartitionByRange(buckets, at).withColumn("__b", F.spark_partition_id()).write.partitionBy("__b").parquet(aside)
+    for b in range(buckets):  # one small job per file, so that modification times rise in order
+        rows = df.sparkSession.read.schema(f"{_ddl(df)}, __b int").parquet(aside).filter(F.col("__b") == b).drop("__b")
+        rows.coalesce(1).write.mode("append").parquet(path)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
 class Ledger:
