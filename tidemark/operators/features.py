@@ -86,21 +86,29 @@ def training_set(labels: DataFrame, own: DataFrame, customer: DataFrame, merchan
 def temporal_split(rows: DataFrame, at: str, tie: str, shares: Sequence[float] = (0.70, 0.15, 0.15)) -> DataFrame:
     """``split`` by position in time: train, validation, test; no row is ever later than one of the next split.
 
-    Positions come from counts per day and a window inside each day, so no task sorts the
-    whole table.
+    Only the two rows at the cuts are looked for: minutes are counted, combined map-side; the
+    minute that holds a cut is sorted.  All rows are then compared with the cuts where they
+    are, without any shuffle.  Rows without time belong to the earliest part.
     """
-    day = F.to_date(F.col(at).cast("timestamp"))
-    counted = rows.withColumn("__d", day)
-    per = counted.groupBy("__d").agg(F.count(F.lit(1)).alias("__c"))
-    # One row per day.
-    before = F.coalesce(F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = per.select("__d", before.alias("__before"), F.sum("__c").over(Window.partitionBy(F.lit(0))).alias("__n"))
-    inside = F.row_number().over(Window.partitionBy("__d").orderBy(at, tie))
-    placed = counted.withColumn("__i", inside).join(offsets, counted["__d"].eqNullSafe(offsets["__d"])).withColumn("__p", F.col("__before") + F.col("__i"))
-    a = F.floor(F.col("__n") * shares[0])
-    b = F.floor(F.col("__n") * (shares[0] + shares[1]))
-    which = F.when(F.col("__p") <= a, "train").when(F.col("__p") <= b, "validation").otherwise("test")
-    return placed.select(*rows.columns, which.alias("split"))
+    usable = rows.filter(F.col(at).isNotNull() & F.col(tie).isNotNull())
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    minute = F.expr(f"cast(floor(unix_micros(cast(`{at}` as timestamp)) / 60000000) as bigint)")
+    per = usable.groupBy(minute.alias("m")).agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)  # one row per minute of the time span
+    held = per.select("m", "c", F.sum("c").over(upto).alias("upto"), F.sum("c").over(Window.partitionBy(F.lit(0))).alias("n"))
+    last = [F.floor(F.col("n") * sum(shares[: i + 1])) for i in range(2)]
+    found = held.select("m", "c", "upto", *[w.alias(f"p{i}") for i, w in enumerate(last)]).filter(" or ".join(f"(p{i} <= upto and p{i} > upto - c)" for i in range(2))).collect()  # at most two minutes
+    cuts = []
+    for i in range(2):
+        hit = next((r for r in found if r["upto"] - r["c"] < r[f"p{i}"] <= r["upto"]), None)
+        if hit is None:
+            cuts.append(None)
+            continue
+        k = hit[f"p{i}"] - (hit["upto"] - hit["c"])
+        cuts.append(usable.filter(minute == hit["m"]).select(us.alias("u"), F.col(tie).alias("t")).orderBy("u", "t").offset(k - 1).limit(1).first())
+    before = lambda c: F.lit(False) if c is None else (us < c["u"]) | ((us == c["u"]) & (F.col(tie) <= c["t"]))
+    which = F.when(F.col(at).isNull() | F.col(tie).isNull() | before(cuts[0]), "train").when(before(cuts[1]), "validation").otherwise("test")
+    return rows.withColumn("split", which)
 
 
 def finite(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -1,7 +1,6 @@
 """Metrics of binary scores, in SQL aggregates; thresholds, models and their registry.
 
-Scores are grouped by value before anything is ranked: tied scores count together, and the
-window runs over distinct scores, not rows.
+Scores are grouped by value before anything is ranked, so tied scores count together.
 """
 
 from __future__ import annotations
@@ -16,31 +15,42 @@ from pyspark.sql import functions as F
 from tidemark.session import work_dir
 
 
-def curve(scored: DataFrame, score: str, label: str, by: Sequence[str] = (), bins: int | None = None) -> DataFrame:
-    """Per distinct score, from high to low: cumulative true and false positives and the totals.
+#: Scores are cut into this many steps of their range for running sums.
+STEPS = 1024
 
-    ``bins`` rounds scores to that many steps, which bounds the window at any size of table.
+
+def curve(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per distinct score: its positives ``p`` and rows ``n``, the cumulative true and false positives from the top, and the totals.
+
+    Running sums have two levels: inside a step of the score, and over at most STEPS + 1
+    steps, so that no task orders all scores.  Scores lie in 0..1; null scores take no part.
     """
-    s = F.col(score) if bins is None else F.floor(F.col(score) * bins) / bins
-    per = scored.groupBy(*by, s.alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    step = F.least(F.greatest(F.floor(F.col("s") * STEPS), F.lit(0)), F.lit(STEPS)).cast("int")
+    per = scored.filter(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n")).withColumn("step", step)
+    inside = Window.partitionBy(*by, "step").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumns({"in_p": F.sum("p").over(inside), "in_n": F.sum("n").over(inside)})
     keys = list(by) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(*keys)
-    return per.select(*by, "s", F.sum("p").over(w).alias("tp"), (F.sum("n").over(w) - F.sum("p").over(w)).alias("fp"), F.sum("p").over(all_rows).alias("pos"), (F.sum("n").over(all_rows) - F.sum("p").over(all_rows)).alias("neg"))
+    above = Window.partitionBy(*keys).orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = per.groupBy(*by, "step").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    whole = Window.partitionBy(*keys)
+    steps = steps.select(*by, "step", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("up_p"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("up_n"), F.sum("sp").over(whole).alias("pos"), F.sum("sn").over(whole).alias("rows"))
+    out = per.join(steps, [*by, "step"])
+    tp = F.col("in_p") + F.col("up_p")
+    return out.select(*by, "s", "p", "n", tp.alias("tp"), (F.col("in_n") + F.col("up_n") - tp).alias("fp"), "pos", (F.col("rows") - F.col("pos")).alias("neg"))
 
 
 def areas(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ROC AUC and PR AUC by trapezoids, average precision by steps; null where a class is missing."""
-    keys = list(by) or [F.lit(0)]
-    w = Window.partitionBy(*keys).orderBy(F.col("s").desc())
-    tp0, fp0 = F.coalesce(F.lag("tp").over(w), F.lit(0)), F.coalesce(F.lag("fp").over(w), F.lit(0))
+    """ROC AUC and PR AUC by trapezoids, average precision by steps; null where a class is missing.
+
+    A point knows its predecessor: the cumulative counts without its own rows.
+    """
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - (F.col("n") - F.col("p"))
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    steps = points.withColumns({"tp0": tp0, "fp0": fp0, "prec": prec})
-    steps = steps.withColumn("prec0", F.coalesce(F.lag("prec").over(w), F.lit(1.0)))
-    d_recall = (F.col("tp") - F.col("tp0")) / F.nullif("pos", F.lit(0))
-    d_fpr = (F.col("fp") - F.col("fp0")) / F.nullif("neg", F.lit(0))
-    height = (F.col("tp") + F.col("tp0")) / (2 * F.nullif("pos", F.lit(0)))
-    return steps.groupBy(*by).agg(F.sum(d_fpr * height).alias("roc_auc"), F.sum(d_recall * (F.col("prec") + F.col("prec0")) / 2).alias("pr_auc"), F.sum(d_recall * F.col("prec")).alias("average_precision"))
+    prec0 = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
+    d_recall = F.col("p") / F.nullif("pos", F.lit(0))
+    d_fpr = (F.col("n") - F.col("p")) / F.nullif("neg", F.lit(0))
+    height = (F.col("tp") + tp0) / (2 * F.nullif("pos", F.lit(0)))
+    return points.groupBy(*by).agg(F.sum(d_fpr * height).alias("roc_auc"), F.sum(d_recall * (prec + prec0) / 2).alias("pr_auc"), F.sum(d_recall * prec).alias("average_precision"))
 
 
 def f_beta(tp: Column, fp: Column, fn: Column, beta: float) -> Column:

@@ -102,7 +102,7 @@ def fraud_model(spark: SparkSession, sf: str) -> DataFrame:
     best, best_key = None, None
     for name, model in fitted.items():
         scored = scoring.predict(model, parts["validation"], 0.5)
-        ap = scoring.areas(scoring.curve(scored, "fraud_probability", "label", bins=1000)).first()["average_precision"] or 0.0
+        ap = scoring.areas(scoring.curve(scored, "fraud_probability", "label")).first()["average_precision"] or 0.0
         cut = scoring.best_threshold(scoring.at_thresholds(scored, "fraud_probability", "label", scoring.THRESHOLDS)).first()
         if best_key is None or (ap, cut["f2"]) > best_key:
             best, best_key = (name, model, cut["threshold"]), (ap, cut["f2"])
