@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.queries import core, core_sql, flows, payments, payments_sql, platform
+from tidemark.queries import core, core_sql, flows, panels, payments, payments_sql, platform
 
 
 def all_queries() -> dict:
-    return payments.queries() | core.queries() | flows.queries() | platform.queries()
+    return payments.queries() | core.queries() | flows.queries() | platform.queries() | panels.queries()
 
 
 def all_sql() -> dict[str, str]:
-    return payments_sql.sql() | core_sql.sql()
+    return payments_sql.sql() | core_sql.sql() | panels.sql()
