@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.standardize import blank_to_null
-from tidemark.session import shared_root, work_dir
+from tidemark.session import staged, work_dir
 from tidemark.sources import schemas
 
 LINEAGE = {"source_file": "_metadata.file_path", "source_file_name": "_metadata.file_name"}
@@ -93,10 +93,10 @@ class Ledger:
         """Append the rows of files not loaded before; returns the number of new files."""
         files = rows.select(F.col("source_file").alias("file_path")).distinct()
         fresh = files if force else files.join(self.loaded(target), "file_path", "left_anti")
-        fresh = self.spark.createDataFrame(fresh.collect(), "file_path string")  # names of files, fixed before the ledger grows
+        fresh = staged(fresh, "fresh-files")  # fixed before the ledger grows
         count = fresh.count()
         if count:
-            rows.join(F.broadcast(fresh) if count <= 10_000 else fresh, rows["source_file"] == fresh["file_path"], "left_semi").write.mode("append").parquet(table_path)
+            rows.join(fresh, rows["source_file"] == fresh["file_path"], "left_semi").write.mode("append").parquet(table_path)
             fresh.select(F.lit(target).alias("target"), "file_path").coalesce(1).write.mode("append").parquet(self.path)
         return count
 
@@ -129,10 +129,7 @@ def properties(spark: SparkSession, path: str) -> dict[str, str]:
 
 def replace_rows(df: DataFrame, path: str) -> None:
     """Delete all rows and insert these; safe where ``df`` reads the same table."""
-    spark = df.sparkSession
-    aside = f"{shared_root(spark)}/tidemark/replace-{abs(hash(path))}"
-    df.write.mode("overwrite").parquet(aside)
-    spark.read.schema(df.schema).parquet(aside).write.mode("overwrite").parquet(path)
+    staged(df, "replace").write.mode("overwrite").parquet(path)
 
 
 def insert(spark: SparkSession, path: str, query: str, args: Mapping[str, object]) -> None:
