@@ -40,13 +40,20 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the cluster names none."""
+    """The folder all executors share; set here only where the cluster names none.
+
+    Without a named folder, a local master gets a temporary one, and a cluster the warehouse,
+    which its executors share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     root = os.path.join(tempfile.gettempdir(), f"tidemark-{uuid.uuid4().hex[:12]}")
     os.makedirs(root, exist_ok=True)
     spark.sparkContext.setCheckpointDir(root)
