@@ -118,6 +118,13 @@ def rag_context(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", F.length("context").alias("context_length"), retrieval.citations_valid(F.col("answer"), F.col("docs")).alias("valid"), retrieval.citations_valid(F.concat("answer", F.lit(" [SOURCE none]")), F.col("docs")).alias("with_foreign"))
 
 
+def rag_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Context of each question with the whole text of its passages; ``rag_context`` measures a preview of 40 characters each."""
+    ranked = core._keyword(spark, sf, 3)
+    made = retrieval.context(ranked, table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select("query_id", "context", F.length("context").alias("context_length"), F.sha2("context", 256).alias("context_hash"))
+
+
 def evidence_view(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions with the customer's features of the same instant; no outcome column may be in it."""
     from tidemark.operators import features
@@ -162,5 +169,5 @@ def last_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (scoped_audit, operations_summary, source_readiness, warehouse_health, model_health, golden_cases, promotion_gates, measure_agents, cost_by_sku, rag_context, evidence_view, quarantine_reasons, price_overlap, response_sections, batch_scoring, last_seen)
+    named = (scoped_audit, operations_summary, source_readiness, warehouse_health, model_health, golden_cases, promotion_gates, measure_agents, cost_by_sku, rag_context, rag_passages, evidence_view, quarantine_reasons, price_overlap, response_sections, batch_scoring, last_seen)
     return {f.__name__: f for f in named}
