@@ -5,7 +5,7 @@ import hashlib
 from compare import connect
 from conftest import DATA
 
-from tidemark.queries import core, platform
+from tidemark.queries import base, core, flows, platform
 
 
 def test_rag_passages_hold_whole_texts(spark):
@@ -18,3 +18,14 @@ def test_rag_passages_hold_whole_texts(spark):
     assert {r["query_id"]: r["context"] for r in got} == want
     assert all(r["context_length"] == len(want[r["query_id"]]) and r["context_hash"] == hashlib.sha256(want[r["query_id"]].encode()).hexdigest() for r in got)
     assert any(len(texts[d]) > 40 for docs in ranked.values() for d in docs)
+
+
+def test_every_transaction_is_scored_by_the_champion(spark):
+    ids = [r[0] for r in base.transactions(spark, DATA).select("transaction_id").collect()]
+    got = flows.transaction_scores(spark, DATA).collect()
+    assert len(ids) > 100 and sorted(r["transaction_id"] for r in got) == sorted(ids)
+    assert {(r["model_version"], r["model_alias"]) for r in got} == {("1", "Champion")}
+    assert all(0 <= r["fraud_probability"] <= 1 and r["predicted_fraud"] in (0, 1) for r in got)
+    tested = {r["transaction_id"]: (r["fraud_probability"], r["predicted_fraud"], r["model_name"]) for r in flows.fraud_model(spark, DATA).collect()}
+    scored = {r["transaction_id"]: (r["fraud_probability"], r["predicted_fraud"], r["model_name"]) for r in got}
+    assert tested and {t: scored[t] for t in tested} == tested

@@ -17,8 +17,8 @@ def one_hot(column: str, names: Mapping[str, str]) -> dict[str, Column]:
     return {flag: F.col(column) == value for value, flag in names.items()}
 
 
-def transaction_features(rows: DataFrame, home: str = "AU") -> DataFrame:
-    """Features of the transaction itself; nothing here comes from its outcome."""
+def transaction_features(rows: DataFrame, home: str = "AU", keep: Sequence[Column] = ()) -> DataFrame:
+    """Features of the transaction itself; nothing here comes from its outcome.  ``keep`` are columns to carry along."""
     amount, day = F.col("amount").cast("double"), F.dayofweek("event_timestamp")
     made = {
         "amount": amount, "amount_log1p": F.when(amount > -1, F.log1p(amount)), "hour_of_day": F.hour("event_timestamp"), "day_of_week": day, "is_weekend": day.isin(1, 7),
@@ -27,7 +27,7 @@ def transaction_features(rows: DataFrame, home: str = "AU") -> DataFrame:
         **one_hot("payment_method", {"DEBIT_CARD": "is_debit_card", "CREDIT_CARD": "is_credit_card", "DIGITAL_WALLET": "is_digital_wallet", "BANK_TRANSFER": "is_bank_transfer"}),
     }
     ids = ["transaction_id", "customer_id", "account_id", "merchant_id"]
-    return rows.select(*ids, F.col("event_timestamp").alias("transaction_event_timestamp"), *[c.alias(n) for n, c in made.items()])
+    return rows.select(*ids, F.col("event_timestamp").alias("transaction_event_timestamp"), *[c.alias(n) for n, c in made.items()], *keep)
 
 
 def behaviour(rows: DataFrame, entity: str, prefix: str, home: str = "AU") -> DataFrame:

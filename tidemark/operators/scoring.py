@@ -168,6 +168,17 @@ class Registry:
         self._append(*rows)
 
 
+def champion(registry: Registry, name: str) -> tuple:
+    """The stored champion of a name: its model, its threshold, and its version columns for ``predict``."""
+    from pyspark.ml import PipelineModel
+
+    held = registry.current().filter((F.col("name") == name) & (F.col("alias") == "Champion")).first()
+    if held is None:
+        raise ValueError(f"{name} has no champion")
+    columns = {"model_name": name, "model_version": str(held["version"]), "model_alias": "Champion"}
+    return PipelineModel.load(held["path"]), json.loads(held["metrics"])["threshold"], columns
+
+
 def gates(metrics: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """Named checks over a row of metrics: failures in order, and whether all passed."""
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), n) for n, ok in checks.items()]))

@@ -89,25 +89,53 @@ def dataset_graph(spark: SparkSession, sf: str) -> DataFrame:
     return made["daily"].withColumn("event_date", F.date_format("event_date", "yyyy-MM-dd"))
 
 
-def fraud_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit both candidates on the earliest part, choose on the next, score the last."""
-    rows = features.transaction_features(base.transactions(spark, sf).filter("event_timestamp is not null"))
-    names = ["amount", "amount_log1p", "hour_of_day", "is_weekend", "is_cross_border", "is_card_not_present", "is_pos", "is_ecommerce"]
-    label = base.transactions(spark, sf).select("transaction_id", F.coalesce(F.col("transaction_status") == "DECLINED", F.lit(False)).cast("int").alias("label"))
-    table_ = features.finite(rows.withColumns({n: F.col(n).cast("double") for n in names}), names).join(label, "transaction_id")
-    # Stored once: the iterative fits read it many times.
-    split = staged(features.temporal_split(table_, "transaction_event_timestamp", "transaction_id").select("transaction_id", "label", "split", *names), "training")
-    parts = {s: split.filter(F.col("split") == s) for s in ("train", "validation", "test")}
-    fitted = scoring.fit_candidates(parts["train"], names, "label")
+FEATURES = ["amount", "amount_log1p", "hour_of_day", "is_weekend", "is_cross_border", "is_card_not_present", "is_pos", "is_ecommerce"]
+
+
+def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every transaction with its features, its label, and its split; without a time it has none and is only scored."""
+    at, label = "transaction_event_timestamp", F.coalesce(F.col("transaction_status") == "DECLINED", F.lit(False)).cast("int").alias("label")
+    rows = features.transaction_features(base.transactions(spark, sf), keep=[label]).select("transaction_id", at, "label", *[F.col(n).cast("double").alias(n) for n in FEATURES])
+    # Stored once: the cuts of the split and the iterative fits read it many times.
+    kept = staged(features.finite(rows, FEATURES), "training")
+    usable = F.col(at).isNotNull() & F.col("transaction_id").isNotNull()
+    return features.temporal_split(kept, at, "transaction_id").withColumn("split", F.when(usable, F.col("split")))
+
+
+def _best_model(rows: DataFrame) -> tuple:
+    """Both candidates fitted on the earliest part; name, model, threshold and average precision of the better one on the next."""
+    parts = {s: rows.filter(F.col("split") == s) for s in ("train", "validation")}
+    fitted = scoring.fit_candidates(parts["train"], FEATURES, "label")
     best, best_key = None, None
     for name, model in fitted.items():
         scored = scoring.predict(model, parts["validation"], 0.5)
         ap = scoring.areas(scoring.curve(scored, "fraud_probability", "label")).first()["average_precision"] or 0.0
         cut = scoring.best_threshold(scoring.at_thresholds(scored, "fraud_probability", "label", scoring.THRESHOLDS)).first()
         if best_key is None or (ap, cut["f2"]) > best_key:
-            best, best_key = (name, model, cut["threshold"]), (ap, cut["f2"])
-    name, model, threshold = best
-    return scoring.predict(model, parts["test"], threshold, model_name=name, model_version="1").select("transaction_id", "label", "fraud_probability", "predicted_fraud", "model_name", "model_version")
+            best, best_key = (name, model, cut["threshold"], ap), (ap, cut["f2"])
+    return best
+
+
+def fraud_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit both candidates on the earliest part, choose on the next, score the last."""
+    rows = _model_rows(spark, sf)
+    name, model, threshold, _ = _best_model(rows)
+    return scoring.predict(model, rows.filter("split = 'test'"), threshold, model_name=name, model_version="1").select("transaction_id", "label", "fraud_probability", "predicted_fraud", "model_name", "model_version")
+
+
+def transaction_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Batch scoring: the registered champion applied to every transaction; ``batch_scoring`` is a page of the top hundred by amount."""
+    rows = _model_rows(spark, sf)
+    out = ["transaction_id", F.col("transaction_event_timestamp").alias("event_timestamp"), "fraud_probability", "predicted_fraud", "model_name", "model_version", "model_alias"]
+    if rows.isEmpty():
+        return rows.withColumns({"fraud_probability": F.lit(0.0), "predicted_fraud": F.lit(0), **{c: F.lit("") for c in out[4:]}}).select(*out)
+    name, model, threshold, ap = _best_model(rows)
+    path = work_dir(spark, "champion")
+    model.write().save(path)
+    registry = scoring.Registry(spark, work_dir(spark, "registry"))
+    registry.promote(name, registry.register(name, path, {"average_precision": ap, "threshold": threshold}))
+    model, threshold, columns = scoring.champion(registry, name)
+    return scoring.predict(model, rows, threshold, **columns).select(*out)
 
 
 def grants_check(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,4 +146,4 @@ def grants_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (payment_events_stream, cdc_stream, late_stream, load_once, dataset_graph, fraud_model, grants_check)}
+    return {f.__name__: f for f in (payment_events_stream, cdc_stream, late_stream, load_once, dataset_graph, fraud_model, transaction_scores, grants_check)}
