@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 LIMIT, GLUE = 1200, "\n\n"
 
 
@@ -69,6 +73,84 @@ def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.2, b: float = 0.75
     return scored.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, block: int = 5000, bucket: int = 8192) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the best ``k`` other documents of each query by ``bm25``, for many queries.
+
+    Both sides: id (a unique long), text.  A task has one bucket of documents and one block of
+    queries, so common terms meet no more than those; it multiplies their weights as dense
+    matrices, adds rare terms posting by posting, and returns its best ``k`` alone.  Terms are
+    compared by their 64-bit hashes.  Scores have six decimals.
+    """
+    ship(corpus.sparkSession)
+    docs = corpus.select("id", _words("text").alias("words")).filter(F.size("words") > 0)
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("avgdl")).first()
+    n, avgdl = stats["n"], stats["avgdl"] or 1.0
+    df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    wanted = queries.select(F.col("id").alias("query_id"), F.explode(F.array_distinct(_words("text"))).alias("term")).join(df, "term")
+    asked = wanted.groupBy("query_id").agg(F.collect_list(F.xxhash64("term")).alias("terms"), F.collect_list(idf).alias("idf"))
+    parts, blocks = max(1, -(-n // bucket)), max(1, -(-queries.count() // block))
+    spread = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = docs.select(spread("id", parts).alias("p"), every(blocks).alias("q"), F.col("id").alias("doc_id"), F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    right = asked.select(every(parts).alias("p"), spread("query_id", blocks).alias("q"), "query_id", "terms", "idf")
+
+    def best(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        if d.empty or a.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        d, a = d.sort_values("doc_id"), a.sort_values("query_id")
+        ids, asks, nq = d["doc_id"].to_numpy(), a["query_id"].to_numpy(), len(a)
+        at = np.repeat(np.arange(nq), [len(t) for t in a["terms"]])
+        value = np.concatenate([np.asarray(v, dtype="float64") for v in a["idf"]])
+        known, code = np.unique(np.concatenate([np.asarray(t, dtype="int64") for t in a["terms"]]), return_inverse=True)
+        count = np.bincount(code, minlength=len(known))
+        hot = count > nq // 64
+        column = np.cumsum(hot) - 1
+        dense = np.zeros((int(hot.sum()), nq))
+        common = hot[code]
+        dense[column[code[common]], at[common]] = value[common]
+        order = np.argsort(code, kind="stable")
+        at, value, start = at[order], value[order], np.cumsum(count) - count
+        found = []
+        for low in range(0, len(ids), 1000):
+            some = ids[low : low + 1000]
+            words = [np.asarray(w, dtype="int64") for w in d["words"].iloc[low : low + 1000]]
+            size = np.array([len(w) for w in words])
+            flat, row = np.concatenate(words), np.repeat(np.arange(len(some)), size)
+            near = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            hit = known[near] == flat
+            pair, tf = np.unique(row[hit] * len(known) + near[hit], return_counts=True)
+            row, term = pair // len(known), pair % len(known)
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
+            wide = np.zeros((len(some), dense.shape[0]))
+            h = hot[term]
+            wide[row[h], column[term[h]]] = weight[h]
+            score = wide @ dense
+            row, term, weight = row[~h], term[~h], weight[~h]
+            times = count[term]
+            post = np.repeat(start[term] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            score += np.bincount(np.repeat(row, times) * nq + at[post], np.repeat(weight, times) * value[post], len(some) * nq).reshape(len(some), nq)
+            score[score == 0] = -np.inf
+            score = np.round(score, 6)
+            same = np.minimum(np.searchsorted(asks, some), nq - 1)
+            own = np.flatnonzero(asks[same] == some)
+            score[own, same[own]] = -np.inf
+            for _ in range(min(k, len(some))):
+                top = score.argmax(axis=0)  # the lowest document of a tie
+                s = score[top, np.arange(nq)]
+                held = s > -np.inf
+                found.append((asks[held], some[top[held]], s[held]))
+                score[top, np.arange(nq)] = -np.inf
+        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "doc_id", "score"))})
+
+    scored = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, "query_id long, doc_id long, score double")
+    return top_k(scored, k)
+
+
 def cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """``query_id, doc_id, score`` of a stated query set against all rows.
 

@@ -450,6 +450,12 @@ def keyword_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _keyword(spark, sf, 3).select("query_id", "doc_id", "rank")
 
 
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth document as a question against all other documents; ``keyword_topk`` asks one sentence per language."""
+    rows = table(spark, sf, "documents").filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.bm25_top_k(rows.filter("id % 20 = 0"), rows, 3).select("query_id", "doc_id", "rank")
+
+
 def _vector(spark: SparkSession, sf: str, k: int) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     scored = retrieval.cosine(rows.filter("id % 20 = 0"), rows).withColumn("score", F.round("score", 9))
@@ -512,6 +518,6 @@ def queries() -> dict:
         scd1_current, scd2_history, cdc_invariant, cdc_after_baseline, enriched_transactions, daily_payment_metrics, merchant_payment_metrics, channel_payment_metrics, fraud_operations_metrics, orphans_anti, except_all_diff, temporal_price_cost,
         top_workloads_per_group, merge_change_only, merge_upsert, transaction_features, behavior_features_customer, behavior_features_merchant, asof_training_set, temporal_split, threshold_metrics, best_threshold, score_areas, daily_series_features,
         forecast_holdouts, seasonal_naive, measure_kpis, measure_by_channel, measure_by_day, measure_model, latest_definition, slice_collapse, job_health, daily_reliability_full_outer, query_performance, freshness_health, cost_spikes,
-        alert_candidates, security_daily, reconciliation_report, physical_profile, masked_customers, au_row_filter, tag_coverage, transaction_context, chunk_documents, keyword_topk, retrieval_topk, retrieval_metrics, hybrid_fusion, agent_case_scores, agent_run_summary,
+        alert_candidates, security_daily, reconciliation_report, physical_profile, masked_customers, au_row_filter, tag_coverage, transaction_context, chunk_documents, keyword_topk, keyword_search, retrieval_topk, retrieval_metrics, hybrid_fusion, agent_case_scores, agent_run_summary,
     )
     return {f.__name__: f for f in named}
