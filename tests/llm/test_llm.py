@@ -43,6 +43,64 @@ def test_assembled_ids_equal_whole_encoding(pieces, mean, greatest):
         tokens.MEAN, tokens.GREATEST, tokens.WINDOW = held
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=60), st.sampled_from([2, 3, 7]), st.integers(0, 2**60))
+def test_ids_are_exact_whichever_chunks_are_known(pieces, mean, known):
+    held = tokens.MEAN, tokens.GREATEST, tokens.WINDOW
+    tokens.MEAN, tokens.GREATEST, tokens.WINDOW = mean, 17, 2
+    try:
+        text, enc, at, own = "".join(pieces), tokens.encoder(tokens.DEFAULT_RANKS), 0, []
+        for i, end in enumerate(tokens.cut_points(text)):
+            if known >> (i % 60) & 1:
+                own.append((at, end - at, tokens._pack(tokens.encode_chunk(text[at:end], enc))))
+            at = end
+        parts = tokens.parts_of(text, own)
+        assert "".join(p[0] for p in parts) == text
+        assert not parts or tokens.assemble(parts, enc) == enc.encode_ordinary(text)
+    finally:
+        tokens.MEAN, tokens.GREATEST, tokens.WINDOW = held
+
+
+def test_chunks_and_their_hashes_do_not_depend_on_the_batch():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abc dé日\n.") for _ in range(rnd.choice([0, 3, 16, 17, 400, 9000]))) for _ in range(60)] + ["\U000323b0" * 5000, "x" * 9000]
+    of, starts, ends, h = tokens.cut(texts)
+    for i, t in enumerate(texts):
+        _, s, e, own = tokens.cut([t])
+        assert (starts[of == i] == s).all() and (ends[of == i] == e).all() and (h[of == i] == own).all()
+        assert "".join(t[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)) == t
+        assert t[:1] == "\U000323b0" or (e - s <= tokens.GREATEST).all()
+    seen = {}
+    for i, a, b, x in zip(of.tolist(), starts.tolist(), ends.tolist(), h.tolist(), strict=True):
+        assert seen.setdefault(x, texts[i][a:b]) == texts[i][a:b]
+
+
+def test_filter_lets_every_repeated_chunk_through(spark):
+    rnd = np.random.default_rng(3)
+    once, often = rnd.integers(-(2**63), 2**63, 5000), rnd.integers(-(2**63), 2**63, 3000)
+    rows = spark.createDataFrame([(int(x),) for x in [*once, *often, *often]], "h long")
+    words = tokens.repeated_filter(rows)
+    assert tokens.lets_through(words, often.view(np.uint64)).all()
+    assert tokens.lets_through(words, once.view(np.uint64)).mean() < 0.01
+    assert not tokens.repeated_filter(rows.filter("false")).any()
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "FILTER_BITS", 64)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    enc = tokens.encoder(tokens.DEFAULT_RANKS)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r.doc_id: list(r.ids) for r in tokens.encode_corpus(docs).collect()} == {d: enc.encode_ordinary(t) for d, t in texts.items()}
+
+
+def test_rows_of_one_id_with_different_texts_are_kept_apart(spark):
+    body = "".join(random.Random(8).choice("abcdefgh ,.") for _ in range(3000))
+    rows = [(1, "first " + body), (1, body + " second"), (1, body + " second"), (2, body)]
+    enc = tokens.encoder(tokens.DEFAULT_RANKS)
+    got = sorted((r.doc_id, list(r.ids)) for r in tokens.encode_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((d, enc.encode_ordinary(t)) for d, t in rows)
+
+
 @pytest.mark.parametrize("text", ["a" * 200_000, " " * 50_000 + "b", "\n" * 50_000, "'" * 9_999 + "ll", "0123456789" * 20_000])
 def test_texts_without_boundaries(text):
     assert encode(text) == tokens.encoder(tokens.DEFAULT_RANKS).encode_ordinary(text)
