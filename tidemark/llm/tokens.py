@@ -189,8 +189,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(h[ends - starts >= LEAST].view(np.int64))], ["h"])
 
 
-def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(FILTER_BITS - 1)
+def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
@@ -212,7 +212,7 @@ def repeated_filter(hashes: DataFrame) -> np.ndarray:
 
 
 def lets_through(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    one, two = _slots(h)
+    one, two = _slots(h, 64 * len(words))
     bit = np.uint64(1)
     return ((words[one >> 6] >> (one & 63).astype(np.uint64)) & (words[two >> 6] >> (two & 63).astype(np.uint64)) & bit).astype(bool)
 
