@@ -96,15 +96,27 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+def _joined(one: np.ndarray, width: int, two: np.ndarray, factor: int) -> np.ndarray:
+    """Hashes of ranges of ``width`` characters followed by those of the ranges behind; ``factor`` belongs to the latter."""
+    n = min(len(one), len(two) - width)
+    out = one[:n] * np.uint32(factor)
+    out += two[width : width + n]
+    return out
+
+
 def _rolling(cps: np.ndarray) -> np.ndarray:
     """Ends of the windows whose hash says so."""
-    n = len(cps) - WINDOW + 1
-    if n <= 0:
+    if len(cps) < WINDOW:
         return np.zeros(0, np.int64)
-    h = np.zeros(n, dtype=np.uint32)
-    for j in range(WINDOW):
-        h *= np.uint32(0x01000193)
-        h += cps[j : n + j]
+    # The hash of a + b characters from those of a and of b behind them: as many steps as WINDOW has bits.
+    h, width, power, span, factor = None, 0, cps, 1, 0x01000193
+    while True:
+        if WINDOW & span:
+            h, width = (power, span) if h is None else (_joined(h, width, power, factor), width + span)
+        if 2 * span > WINDOW:
+            break
+        power, span, factor = _joined(power, span, power, factor), 2 * span, factor * factor & 0xFFFFFFFF
+    h = h.copy() if h is cps else h
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     return np.flatnonzero((h >> np.uint32(8)) % np.uint32(MEAN) == 0) + WINDOW
