@@ -66,7 +66,7 @@ HELD, HEAD = 3, 4
 #: no longer than that has nothing to give and stays with the text around it.
 LEAST = 32
 #: Bits of the filter of repeated chunks, and characters cut at a time.
-FILTER_BITS, SLICE_CHARS = 1 << 26, 1 << 20
+FILTER_BITS, SLICE_CHARS = 1 << 26, 1 << 19
 
 _SPACE = regex.compile(r"\s")
 
@@ -83,16 +83,24 @@ def _pieces() -> regex.Pattern:
     return regex.compile(PATTERN)
 
 
-@lru_cache(1)
-def _unassigned() -> np.ndarray:
-    return np.array([unicodedata.category(chr(cp)) == "Cn" for cp in range(0x110000)])
+#: Which code points are unassigned, filled in a block of 256 at a time when one is met.
+_UNASSIGNED, _KNOWN = np.zeros(0x110000, dtype=bool), np.zeros(0x1100, dtype=bool)
+
+
+def _unassigned(cps: np.ndarray) -> np.ndarray:
+    """Where ``cps`` holds a code point that Unicode has not assigned."""
+    met = np.bincount(cps >> np.uint32(8), minlength=0x1100) > 0
+    for block in np.flatnonzero(met & ~_KNOWN).tolist():
+        _UNASSIGNED[block * 256 : block * 256 + 256] = [unicodedata.category(chr(cp)) == "Cn" for cp in range(block * 256, block * 256 + 256)]
+        _KNOWN[block] = True
+    return np.flatnonzero(_UNASSIGNED[cps])
 
 
 @lru_cache(1)
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd factor and of its inverse, modulo 2^64."""
     factor = 0x9E3779B97F4A7C15
-    both = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * SLICE_CHARS, f, np.uint64)])) for f in (factor, pow(factor, -1, 1 << 64))]
+    both = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(SLICE_CHARS, f, np.uint64)])) for f in (factor, pow(factor, -1, 1 << 64))]
     return both[0], both[1]
 
 
@@ -131,7 +139,7 @@ def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     offset = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(t) for t in texts], dtype=np.int64)])
     found = _rolling(cps)
     of = np.searchsorted(offset, found - 1, side="right") - 1
-    odd = np.unique(np.searchsorted(offset, np.flatnonzero(_unassigned()[cps]), side="right") - 1)
+    odd = np.unique(np.searchsorted(offset, _unassigned(cps), side="right") - 1)
     found = found[(found - WINDOW >= offset[of]) & ~np.isin(of, odd)]
     ends = np.union1d(found, offset[1:])
     ends = ends[ends > 0]
