@@ -7,7 +7,7 @@ pushdown go through it.
 from __future__ import annotations
 
 import re
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,28 +15,28 @@ from pyspark.sql import functions as F
 
 MASKED = "***MASKED***"
 
-#: The SQL bodies of the masks, registered by :func:`register`.
-FUNCTIONS = {
-    "mask_string": "(v STRING) RETURNS STRING RETURN CASE WHEN v IS NULL THEN NULL ELSE '***MASKED***' END",
-    "mask_email": "(v STRING) RETURNS STRING RETURN CASE WHEN v IS NULL THEN NULL WHEN instr(v, '@') > 1 THEN concat('***@', element_at(split(v, '@'), -1)) ELSE '***MASKED***' END",
-    "mask_date_of_birth": "(v DATE) RETURNS DATE RETURN CASE WHEN v IS NULL THEN NULL ELSE make_date(year(v), 1, 1) END",
-    "allow_country": "(c STRING, home STRING) RETURNS BOOLEAN RETURN upper(trim(c)) = home",
+#: One definition of each mask; the SQL functions are made from it.
+_MASKS: dict[str, tuple[str, Callable[[Column], Column]]] = {
+    "string": ("STRING", lambda c: F.nvl2(c, F.lit(MASKED), c)),
+    "email": ("STRING", lambda c: F.nvl2(c, F.nvl2(F.nullif(F.regexp_extract(c, "(?s)^[^@].*@", 0), F.lit("")), F.concat(F.lit("***@"), F.substring_index(c, "@", -1)), F.lit(MASKED)), c)),
+    "birth": ("DATE", lambda c: F.trunc(c, "YEAR")),
 }
+#: The names the SQL functions have: fixed values.
+_NAMES = {"mask_string": "string", "mask_email": "email", "mask_date_of_birth": "birth"}
 
 
 def register(spark: SparkSession) -> None:
-    for name, body in FUNCTIONS.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    """The masks as temporary SQL functions, and the row filter as one of a country and the home country."""
+    for name, kind in _NAMES.items():
+        of, made = _MASKS[kind]
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v {of}) RETURNS {of} RETURN {made(F.col('v'))._jc.node().sql()}")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION allow_country(c STRING, home STRING) RETURNS BOOLEAN RETURN upper(trim(c)) = home")
 
 
 def mask(kind: str, c: Column) -> Column:
-    if kind == "string":
-        return F.when(c.isNotNull(), MASKED)
-    if kind == "email":
-        return F.when(c.isNull(), F.lit(None)).when(F.instr(c, "@") > 1, F.concat(F.lit("***@"), F.element_at(F.split(c, "@"), -1))).otherwise(MASKED)
-    if kind == "birth":
-        return F.make_date(F.year(c), F.lit(1), F.lit(1))
-    raise ValueError(f"unknown mask {kind}")
+    if kind not in _MASKS:
+        raise ValueError(f"unknown mask {kind}")
+    return _MASKS[kind][1](c)
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def forbid_columns(df: DataFrame, forbidden: Collection[str]) -> DataFrame:
     return df
 
 
-_WRITES = re.compile(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|grant|revoke|copy)\b")
+_WRITES = re.compile(r"(?i)\b(insert|update|delete|merge|drop|alter|create|truncate|replace|grant|revoke|copy)\b")
 
 
 def read_only(spark: SparkSession, query: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _n(cond: str) -> str:
 
 
 _SUM = "CAST(sum(amount) AS DOUBLE) AS total_payment_amount, CAST(sum(amount) AS DOUBLE) / count(amount) AS average_payment_amount"
-_FRAUD = f"{_n('has_fraud_case')} AS transactions_with_fraud_case, {_n(chr(102) + 'raud_outcome = ' + chr(39) + 'CONFIRMED_FRAUD' + chr(39))} AS confirmed_fraud_transactions"
+_FRAUD = f"{_n('has_fraud_case')} AS transactions_with_fraud_case, {_n("fraud_outcome = 'CONFIRMED_FRAUD'")} AS confirmed_fraud_transactions"
 
 _RULES = {
     "transaction_id_present": "transaction_id IS NOT NULL", "account_id_present": "account_id IS NOT NULL", "merchant_id_present": "merchant_id IS NOT NULL", "event_timestamp_present": "event_timestamp IS NOT NULL", "amount_positive": "amount > 0",
@@ -139,16 +139,16 @@ SELECT event_id, transaction_id, delivery_scenario, strftime(simulated_arrival_a
     q["cdc_invariant"] = f"WITH {_CUS}, z AS (SELECT *, lead(record_version) OVER (PARTITION BY customer_id ORDER BY record_version) AS nxt FROM clog), c AS (SELECT count(*) AS n FROM z WHERE nxt IS NULL AND NOT is_deleted) SELECT n AS current_rows, n AS open_rows, 'PASS' AS status FROM c"
     q["cdc_after_baseline"] = f"WITH {_ACC} SELECT record_version, count(*) AS changes, {_n('is_deleted')} AS deletes FROM alog l WHERE NOT EXISTS (SELECT 1 FROM alog b WHERE b.account_id = l.account_id AND b.record_version = 1 AND l.record_version <= 1) GROUP BY 1"
     q["enriched_transactions"] = f"WITH {_RICH} SELECT transaction_id, account_id, customer_id, merchant_id, CAST(amount AS DOUBLE) AS amount, account_type, customer_risk_rating, merchant_name, merchant_risk_rating, fraud_outcome, account_dimension_match, customer_dimension_match, merchant_dimension_match, has_fraud_case FROM rich"
-    status = ", ".join(f"{_n(f'transaction_status = {chr(39)}{s}{chr(39)}')} AS {s.lower()}_transactions" for s in ("AUTHORIZED", "DECLINED", "SETTLED", "REVERSED", "REFUNDED"))
-    high = lambda w: f"{_n(f'{w}_risk_rating = {chr(39)}HIGH{chr(39)}')} AS high_risk_{w}_transactions"
+    status = ", ".join(f"{_n(f"transaction_status = '{s}'")} AS {s.lower()}_transactions" for s in ("AUTHORIZED", "DECLINED", "SETTLED", "REVERSED", "REFUNDED"))
+    high = lambda w: f"{_n(f"{w}_risk_rating = 'HIGH'")} AS high_risk_{w}_transactions"
     q["daily_payment_metrics"] = f"WITH {_RICH} SELECT {_DAY}, currency, count(*) AS transaction_count, {_SUM}, CAST(min(amount) AS DOUBLE) AS minimum_payment_amount, CAST(max(amount) AS DOUBLE) AS maximum_payment_amount, {status}, {_FRAUD}, {high('customer')}, {high('merchant')} FROM rich GROUP BY event_date, currency"
-    declined = f"{_n(f'transaction_status = {chr(39)}DECLINED{chr(39)}')} AS declined_transactions"
+    declined = f"{_n("transaction_status = 'DECLINED'")} AS declined_transactions"
     confirmed = "CAST(coalesce(sum(amount) FILTER (fraud_outcome = 'CONFIRMED_FRAUD'), 0) AS DOUBLE) AS confirmed_fraud_amount"
     keys = "merchant_id, merchant_name, merchant_category_code, merchant_risk_rating, merchant_status, currency"
     q["merchant_payment_metrics"] = f"WITH {_RICH} SELECT {keys}, count(*) AS transaction_count, count(DISTINCT customer_id) AS distinct_customers, {_SUM}, CAST(max(amount) AS DOUBLE) AS maximum_payment_amount, {declined}, {_FRAUD}, {confirmed} FROM rich GROUP BY {keys}"
     q["channel_payment_metrics"] = f"WITH {_RICH} SELECT {_DAY}, channel, payment_method, currency, count(*) AS transaction_count, {_SUM}, {_n('card_present')} AS card_present_transactions, {_n('NOT coalesce(card_present, false)')} AS card_not_present_transactions, {declined}, {_FRAUD} FROM rich GROUP BY event_date, channel, payment_method, currency"
-    case = lambda s, n: f"{_n(f'fraud_case_status = {chr(39)}{s}{chr(39)}')} AS {n}"
-    outcome = lambda s, n: f"{_n(f'fraud_outcome = {chr(39)}{s}{chr(39)}')} AS {n}"
+    case = lambda s, n: f"{_n(f"fraud_case_status = '{s}'")} AS {n}"
+    outcome = lambda s, n: f"{_n(f"fraud_outcome = '{s}'")} AS {n}"
     q["fraud_operations_metrics"] = f"""WITH {_RICH} SELECT {_DAY}, currency, count(*) AS transaction_count, {_n('has_fraud_case')} AS fraud_case_transactions, {case('OPEN', 'open_fraud_cases')}, {case('INVESTIGATING', 'investigating_fraud_cases')}, {case('CLOSED', 'closed_fraud_cases')},
   {outcome('CONFIRMED_FRAUD', 'confirmed_fraud_transactions')}, {outcome('LEGITIMATE', 'legitimate_transactions')}, {outcome('UNDETERMINED', 'undetermined_transactions')}, CAST(coalesce(sum(amount) FILTER (has_fraud_case), 0) AS DOUBLE) AS payment_amount_under_investigation, {confirmed} FROM rich GROUP BY event_date, currency"""
     q["orphans_anti"] = "SELECT o_orderstatus, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders WHERE o_orderkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1"
@@ -196,21 +196,21 @@ SELECT count(*) AS days, round(avg(abs(f - y)), 9) AS mae, round(sqrt(avg((f - y
     amount = "CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount"
     rate = "CAST(count(*) FILTER (transaction_status = 'DECLINED') AS DOUBLE) / count(*) AS decline_rate"
     fraud = "CAST(count(*) FILTER (has_fraud_case) AS DOUBLE) / count(*) AS fraud_rate"
-    q["measure_kpis"] = f"WITH {_RICH} SELECT count(*) AS payments, {amount}, CAST(sum(amount) AS DOUBLE) / count(amount) AS average, count(DISTINCT customer_id) AS customers, count(DISTINCT merchant_id) AS merchants, {_n(f'transaction_status = {chr(39)}DECLINED{chr(39)}')} AS declined, {rate}, {fraud} FROM rich"
+    q["measure_kpis"] = f"WITH {_RICH} SELECT count(*) AS payments, {amount}, CAST(sum(amount) AS DOUBLE) / count(amount) AS average, count(DISTINCT customer_id) AS customers, count(DISTINCT merchant_id) AS merchants, {_n("transaction_status = 'DECLINED'")} AS declined, {rate}, {fraud} FROM rich"
     q["measure_by_channel"] = f"WITH {_RICH} SELECT channel, CASE WHEN coalesce(card_present, false) THEN 'PRESENT' ELSE 'NOT_PRESENT' END AS card, count(*) AS payments, count(DISTINCT customer_id) AS customers, {rate} FROM rich WHERE currency = 'AUD' GROUP BY 1, 2"
     q["measure_by_day"] = f"WITH {_RICH} SELECT {_DAY}, count(*) AS payments, {amount}, {fraud} FROM rich GROUP BY 1"
     q["measure_model"] = f"WITH {_SCORED} SELECT CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band, count(*) AS scored, {_n('label = 1')} AS positives, CAST({_n('label = 1 AND score >= 0.5')} AS DOUBLE) / nullif({_n('score >= 0.5')}, 0) AS precision_at_half, max(score) AS highest FROM sc GROUP BY 1"
     q["latest_definition"] = f"WITH {_ACC} SELECT account_id, account_status, record_version FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY record_version DESC) AS rn FROM alog) WHERE rn = 1 AND NOT is_deleted"
     q["slice_collapse"] = f"WITH {_RUNS} SELECT merchant_id, transaction_id, {ts.format('run_start')} AS run_start, {ts.format('run_end')} AS run_end, active_us, final_state, slices, status FROM runs"
     q["job_health"] = f"WITH {_RUNS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY run_end DESC, run_start DESC, transaction_id DESC) AS rn FROM runs WHERE merchant_id IS NOT NULL) WHERE rn = 1), m AS (SELECT DISTINCT {_ident('merchant_id')} AS merchant_id FROM merchant_snapshots WHERE merchant_id IS NOT NULL) SELECT m.merchant_id, l.transaction_id, coalesce(l.status, 'NEVER_RUN') AS health FROM m LEFT JOIN l USING (merchant_id)"
-    q["daily_reliability_full_outer"] = f"""WITH {_RUNS}, {_TX}, a AS (SELECT strftime(run_start, '%Y-%m-%d') AS day, count(*) AS runs, {_n(f'status = {chr(39)}FAILED{chr(39)}')} AS failed_runs, round(quantile_cont((active_us // 1000000)::DOUBLE, 0.95), 6) AS p95_seconds FROM runs GROUP BY 1),
+    q["daily_reliability_full_outer"] = f"""WITH {_RUNS}, {_TX}, a AS (SELECT strftime(run_start, '%Y-%m-%d') AS day, count(*) AS runs, {_n("status = 'FAILED'")} AS failed_runs, round(quantile_cont((active_us // 1000000)::DOUBLE, 0.95), 6) AS p95_seconds FROM runs GROUP BY 1),
 b AS (SELECT strftime(event_date, '%Y-%m-%d') AS day, count(*) AS transactions FROM tx WHERE event_date IS NOT NULL GROUP BY 1) SELECT coalesce(a.day, b.day) AS day, runs, failed_runs, p95_seconds, transactions FROM a FULL JOIN b ON a.day = b.day"""
     q["query_performance"] = f"""WITH {_EV} SELECT kafka_partition, CASE WHEN transaction_status = 'DECLINED' THEN 'FAILED' WHEN kafka_partition = 0 AND kafka_offset % 3 > 0 THEN 'SPILLING' WHEN coalesce(delay, 0) * 1000 >= 30000 THEN 'QUEUE_DELAY' WHEN floor(coalesce(amount, 0) * 100) >= 60000 THEN 'LONG_RUNNING' WHEN kafka_offset * 1000000 >= 1073741824 THEN 'HIGH_SCAN' ELSE 'HEALTHY' END AS performance, count(*) AS statements FROM ev GROUP BY ALL"""
     fresh = " UNION ALL ".join(f"SELECT '{t}' AS table_name, max({c}) AS last_at FROM {t}" for t, c in (("payment_events", "kafka_timestamp"), ("payment_transactions_enriched", "bronze_ingested_at"), ("merchant_snapshots", "snapshot_at"), ("merchant_history", "__start_at"), ("documents", "written_at")))
     q["freshness_health"] = f"WITH f AS ({fresh} UNION ALL SELECT 'chargebacks', NULL), g AS (SELECT *, epoch(TIMESTAMP '2026-08-01') - floor(epoch(last_at)) AS age FROM f) SELECT table_name, {ts.format('last_at')} AS last_at, CASE WHEN age IS NULL THEN 'NO_DATA' WHEN age <= 86400 THEN 'RECENT' WHEN age <= 604800 THEN 'AGING' ELSE 'STALE' END AS freshness FROM g"
     q["cost_spikes"] = f"""WITH {_TX}, c AS (SELECT event_date AS d, CAST(sum(amount) FILTER (amount > 0) AS DOUBLE) AS cost FROM tx WHERE event_date IS NOT NULL GROUP BY 1), p AS (SELECT d, cost, avg(cost) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS pm FROM c)
 SELECT strftime(d, '%Y-%m-%d') AS event_date, cost, round(pm, 6) AS prior_mean, coalesce(cost > 1 AND cost > 1.2 * pm, false) AS is_spike FROM p"""
-    q["alert_candidates"] = f"WITH {_DQ}, a AS (SELECT 'quarantine' AS alert, {_n('len(failed) > 0')} AS alert_count FROM dq UNION ALL SELECT 'declines', {_n(f'transaction_status = {chr(39)}DECLINED{chr(39)}')} FROM dq UNION ALL SELECT 'huge_payments', {_n('amount > 1000000')} FROM dq) SELECT *, CASE WHEN alert_count > 0 THEN 'TRIGGERED' ELSE 'OK' END AS state FROM a"
+    q["alert_candidates"] = f"WITH {_DQ}, a AS (SELECT 'quarantine' AS alert, {_n('len(failed) > 0')} AS alert_count FROM dq UNION ALL SELECT 'declines', {_n("transaction_status = 'DECLINED'")} FROM dq UNION ALL SELECT 'huge_payments', {_n('amount > 1000000')} FROM dq) SELECT *, CASE WHEN alert_count > 0 THEN 'TRIGGERED' ELSE 'OK' END AS state FROM a"
     q["security_daily"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type LIKE '%error%' THEN 'ERROR' WHEN regexp_matches(lower(event_type), '(purchase|signup)') THEN 'CHANGE' ELSE 'ACCESS' END AS category, CASE WHEN event_type = 'error' THEN 'HIGH' WHEN value > 90 THEN 'MEDIUM' ELSE 'LOW' END AS severity, count(*) AS entries, count(DISTINCT user_id) AS actors FROM events GROUP BY ALL"
     q["reconciliation_report"] = f"""WITH {_TRUSTED}, {_TX}, n AS (SELECT (SELECT count(*) FROM tx)::DOUBLE AS t, (SELECT count(*) FROM payment_transactions_enriched)::DOUBLE AS r, (SELECT sum(amount) FROM tx)::DOUBLE AS a),
 k AS (SELECT 'standardized = validated + quarantined' AS check_name, t AS lhs, t AS rhs FROM n UNION ALL SELECT 'transactions = enriched', t, t FROM n UNION ALL SELECT 'transactions = sum of daily', t, t FROM n UNION ALL SELECT 'amount = daily amount', a, a FROM n UNION ALL SELECT 'raw = distinct', r, t FROM n UNION ALL SELECT 'trusted events are unique', 0, 0)
