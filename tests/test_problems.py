@@ -186,6 +186,42 @@ def test_lookup_states_and_hot_entity(spark, monkeypatch):
     assert all(got[i + 7] == (("IN_FORCE", "A") if i % 100 < 50 else ("IN_FORCE", None)) for i in range(3000))
 
 
+def test_salts_follow_the_position_not_the_columns(spark, tmp_path, monkeypatch):
+    """Half of all events share entity and every carried column; its versions alone are repeated."""
+    monkeypatch.setattr(known_time, "EVENTS_PER_SALT", 1000)
+    spark.range(40_000, numPartitions=4).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("e"), F.col("id"))).alias("entity"), (F.col("id") % 7).alias("known_us"), F.lit(known_time.TOP).alias("key"), F.lit("one").alias("txn")).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    versions = spark.range(300).select(F.when(F.col("id") < 3, "hot").otherwise(F.concat(F.lit("e"), F.col("id"))).alias("entity"), F.col("id").alias("known_us"), F.col("id").alias("key"), F.lit("v").alias("value"), F.lit(False).alias("deleted"))
+    assert known_time.heavy(events) == {"hot": 20}
+    made = known_time.stream(events, versions, ["txn"])
+    per = [r[2] for r in made.filter("is_event = 1").groupBy("entity", "salt").count().filter("entity = 'hot'").collect()]
+    assert len(per) == 20 and sum(per) == 20_000 and max(per) < 1150
+    copies = {r[0]: r[1] for r in made.filter("is_event = 0").groupBy(F.col("entity") == "hot").count().collect()}
+    assert copies == {True: 3 * 20, False: 297}
+    out = known_time.lookup(events, versions, ["txn"]).groupBy("state").count().collect()
+    assert {r[0]: r[1] for r in out}["IN_FORCE"] >= 20_000 and sum(r[1] for r in out) == 40_000
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_bitemporal_lookup_brute_force(spark, seed, monkeypatch):
+    """Known time and valid time differ: both must be searched.  Trees are dropped often."""
+    monkeypatch.setattr(known_time, "NODES", 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        rnd = random.Random(seed)
+        versions = [(rnd.choice("abcdefg"), rnd.randrange(30), rnd.randrange(20), f"v{i}", rnd.random() < 0.2) for i in range(150)]
+        versions = list({v[:3]: v for v in versions}.values())
+        asks = [(i, rnd.choice("abcdefghx"), rnd.randrange(-2, 35), rnd.randrange(-2, 25)) for i in range(400)]
+        got = {r.i: (r.state, r.value) for r in known_time.lookup(spark.createDataFrame(asks, "i int, entity string, known_us long, key long"), spark.createDataFrame(versions, "entity string, known_us long, key long, value string, deleted boolean"), ["i"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, e, known, probe in asks:
+        own = [v for v in versions if v[0] == e]
+        seen = sorted((v[2], v[1], v[3], v[4]) for v in own if v[1] <= known and v[2] <= probe)
+        want = ("UNKNOWN", None) if not own else ("EARLY", None) if not seen else ("GONE", None) if seen[-1][3] else ("IN_FORCE", seen[-1][2])
+        assert got[i] == want
+
+
 def test_references_reasons(spark):
     parents = spark.createDataFrame([("t", "a", 10, False), ("t", "a", 30, True), ("t", "row_only", None, None)], "table string, key string, first_us long, ceases boolean")
     versions = spark.createDataFrame([("t|a", 10, 1, "v", False), ("t|a", 30, 2, None, True)], "entity string, known_us long, key long, value string, deleted boolean")

@@ -9,11 +9,15 @@ the event's valid key.  Nothing that became known later is reachable from that r
 The trees are treaps whose priorities are a hash of the key: balanced in expectation for
 any order of insertion, and the same after a task is run again.
 
-Scale: entities fall into shards by hash.  A shard's versions are sent ahead of its
-events in one sorted stream per partition (``mapInPandas``), so a task holds the trees of
-one shard and one Arrow batch of events.  Events of a large shard are spread over salts,
-in proportion to their counted number, and only that shard's versions are repeated: a
-merchant with a third of all events is many tasks.  Descent is vectorised over the batch.
+Scale: versions and events of one entity meet in one stream sorted by entity, the versions
+ahead (``mapInArrow``).  A task holds the trees of one Arrow batch and, beyond it, of the
+one entity that goes on into the next.  Entities with more than EVENTS_PER_SALT events,
+counted first, are spread over salts by the position of the event, whatever its columns
+hold; only their own versions are repeated, once a salt.  At most HEAVY entities are
+spread: any other has less than one HEAVY-th of all events.  Descent is vectorised over
+the batch.  The trees of one entity must fit into a task (about 40 bytes x 2 log2 n a
+version).  Positions are taken where the events are read: pass a stored table, or what is
+derived from one without a shuffle, so that a task that runs again numbers them alike.
 
 Defined results: of versions with equal known time and key the greatest value counts; an
 event without entity or time gets no attribute (``NO_KEY``); ``UNKNOWN`` entity has no
@@ -27,15 +31,19 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
-#: Counting buckets for events, and the events a salt is meant to hold.
-BUCKETS, EVENTS_PER_SALT = 1024, 250_000
+#: Entities that may be spread, and the events a salt is meant to hold.
+HEAVY, EVENTS_PER_SALT = 4096, 250_000
+#: Nodes above which trees no longer needed are dropped.
+NODES = 1 << 15
 TOP = 2**62
+STATES = ("UNKNOWN", "EARLY", "GONE", "IN_FORCE")
 
 
 class Forest:
@@ -95,12 +103,12 @@ class Forest:
                 made = self._node(self.key[n], self.prio[n], made, self.right[n], self.load[n])
         return made
 
-    def add_entity(self, number: int, rows: list[tuple[int, int, int]]) -> None:
-        """``rows``: known time, key, load, in the order of known time."""
-        root = -1
+    def add_entity(self, number: int, rows: list[tuple[int, int, int]], root: int = -1) -> int:
+        """``rows``: known time, key, load, in the order of known time, after what ``root`` has; the last root."""
         for known, key, load in rows:
             root = self.insert(root, key, load)
             self.roots.append((number, known, root))
+        return root
 
     def freeze(self) -> None:
         self.k, self.l, self.r, self.p = (np.array(x, dtype=np.int64) for x in (self.key, self.left, self.right, self.load))
@@ -131,50 +139,103 @@ class Forest:
         return best
 
 
-def _serve(batches: Iterator[pd.DataFrame], carry: list[str]) -> Iterator[pd.DataFrame]:
-    """One partition: per (shard, salt) first the versions, then the events."""
-    current, forest, held, numbers, values, gone = None, None, [], {}, [], []
-
-    def build() -> Forest:
-        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame({"entity": [], "known_us": [], "key": [], "value": [], "deleted": []})
-        made, at, n = Forest(), 0, len(rows)
-        entity, known, key = rows["entity"].tolist(), rows["known_us"].tolist(), rows["key"].tolist()
-        values[:], gone[:] = rows["value"].tolist(), rows["deleted"].tolist()
-        numbers.clear()
-        while at < n:
-            end = at
-            while end < n and entity[end] == entity[at]:
-                end += 1
-            numbers[entity[at]] = len(numbers)
-            made.add_entity(numbers[entity[at]], [(int(known[i]), int(key[i]), i) for i in range(at, end)])
-            at = end
-        made.freeze()
-        return made
+class _Held:
+    """The trees a task needs now: entities by number, in the order of the stream."""
+
+    def __init__(self) -> None:
+        self.forest, self.values, self.gone, self.rows, self.root = Forest(), [], [], {}, {}
+        self.stale = True
+
+    def add(self, number: int, known: list[int], key: list[int], value: list[str | None], gone: list[bool]) -> None:
+        """Versions of an entity, in the order of known time; an entity's batches follow one another."""
+        at = len(self.values)
+        self.values += value
+        self.gone += gone
+        self.rows.setdefault(number, []).append((known, key, value, gone))
+        self.root[number] = self.forest.add_entity(number, list(zip(known, key, range(at, at + len(known)), strict=True)), self.root.get(number, -1))
+        self.stale = True
+
+    def keep_only(self, number: int) -> None:
+        """Drop all trees but those of one entity, once they have grown large."""
+        if len(self.rows) > 1 and len(self.forest.key) > NODES:
+            own = self.rows.get(number, [])
+            self.__init__()
+            for part in own:
+                self.add(number, *part)
 
+    def find(self, number: np.ndarray, known: np.ndarray, probe: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Codes of STATES and values."""
+        if self.stale:
+            self.forest.freeze()
+            self.held = pa.array(self.values, pa.string())
+            self.dead = np.array([*self.gone, False], dtype=bool)
+            self.numbers = np.array(sorted(self.rows), dtype=np.int64)
+            self.stale = False
+        load = self.forest.find(number, known, probe)
+        state = np.where(load < 0, np.where(np.isin(number, self.numbers), 1, 0), np.where(self.dead[load], 2, 3))
+        return state, self.held.take(pa.array(load, mask=state != 3))
+
+
+def _serve(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
+    """One partition: per entity and salt first its versions, in order, then its events."""
+    held, number, last = _Held(), 0, None
     for batch in batches:
-        mark = batch["shard"].to_numpy() * 2 + batch["is_event"].to_numpy()
-        salt = batch["salt"].to_numpy()
-        cuts = np.flatnonzero((np.diff(mark) != 0) | (np.diff(salt) != 0)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-            if lo == hi:
-                continue
-            part = batch.iloc[lo:hi]
-            group = (int(part["shard"].iat[0]), int(part["salt"].iat[0]))
-            if group != current:
-                current, forest, held = group, None, []
-            if not part["is_event"].iat[0]:
-                held.append(part[["entity", "known_us", "key", "value", "deleted"]])
-                continue
-            if forest is None:
-                forest, held = build(), []
-                found_value, found_gone = np.array([*values, None], dtype=object), np.array([*gone, False], dtype=bool)
-            number = part["entity"].map(numbers).fillna(-1).to_numpy(dtype=np.int64)
-            load = forest.find(number, part["known_us"].to_numpy(dtype=np.int64), part["key"].to_numpy(dtype=np.int64))
-            state = np.where(number < 0, "UNKNOWN", np.where(load < 0, "EARLY", np.where(found_gone[load], "GONE", "IN_FORCE")))
-            out = part[carry].copy()
-            out["state"] = state
-            out["value"] = np.where(state == "IN_FORCE", found_value[load], None)
-            yield out
+        n = batch.num_rows
+        if not n:
+            continue
+        entity, salt = batch["entity"], batch["salt"].to_numpy()
+        fresh = np.ones(n, dtype=bool)
+        fresh[0] = (entity[0].as_py(), int(salt[0])) != last
+        fresh[1:] = pc.not_equal(entity[1:], entity[:-1]).to_numpy(zero_copy_only=False) | (salt[1:] != salt[:-1])
+        numbers = number + np.cumsum(fresh)
+        if fresh[0]:
+            held = _Held()
+        else:
+            held.keep_only(number)
+        number, last = int(numbers[-1]), (entity[n - 1].as_py(), int(salt[n - 1]))
+        is_event = batch["is_event"].to_numpy().astype(bool)
+        at = np.flatnonzero(~is_event)
+        if len(at):
+            rows = batch.take(pa.array(at))
+            columns = [rows[c].to_pylist() for c in ("known_us", "key", "value", "deleted")]
+            of = numbers[at]
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                held.add(int(of[lo]), *[c[lo:hi] for c in columns])
+        at = np.flatnonzero(is_event)
+        if len(at):
+            rows = batch.take(pa.array(at))
+            state, value = held.find(numbers[at], rows["known_us"].to_numpy(), rows["key"].to_numpy())
+            yield pa.record_batch([*[rows[c] for c in carry], pa.array(STATES).take(pa.array(state)), value], [*carry, "state", "value"])
+
+
+def heavy(asked: DataFrame) -> dict[str, int]:
+    """Salts of the entities with the most events, at most HEAVY of them."""
+    counted = asked.groupBy("entity").count().filter(F.col("count") > EVENTS_PER_SALT)
+    return {r[0]: -(-r[1] // EVENTS_PER_SALT) for r in counted.orderBy(F.col("count").desc(), "entity").limit(HEAVY).collect()}
+
+
+def stream(asked: DataFrame, versions: DataFrame, carry: list[str]) -> DataFrame:
+    """Versions and events in one shape: ``entity, salt, is_event``, what is searched, and the carried columns."""
+    spread = heavy(asked)
+    one = versions.filter("entity is not null and known_us is not null and key is not null").groupBy("entity", "known_us", "key").agg(F.max(F.struct("deleted", "value")).alias("v"))
+    ahead, after = one.withColumn("salt", F.lit(0)), asked.withColumn("salt", F.lit(0))
+    if spread:
+        salts = F.broadcast(asked.sparkSession.createDataFrame(list(spread.items()), "entity string, salts int"))
+        ahead = one.join(salts, "entity", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        place = F.xxhash64(F.monotonically_increasing_id())  # hashed: hot events may stand at every second place
+        after = asked.withColumn("__place", place).join(salts, "entity", "left").withColumn("salt", F.coalesce(F.pmod("__place", F.col("salts")), F.lit(0)).cast("int"))
+    typed = {"entity": "string", "known_us": "long", "key": "long"}
+    kinds = dict(asked.select(*carry).dtypes)
+    versioned = ahead.select(
+        "salt", F.lit(0).alias("is_event"), *[F.col(c).cast(t).alias(c) for c, t in typed.items()], F.col("v.value").cast("string").alias("value"), F.coalesce("v.deleted", F.lit(False)).alias("deleted"),
+        *[F.lit(None).cast(t).alias(f"c_{k}") for k, t in kinds.items()],
+    )
+    events = after.select(
+        "salt", F.lit(1).alias("is_event"), *[F.col(c).cast(t).alias(c) for c, t in typed.items()], F.lit(None).cast("string").alias("value"), F.lit(False).alias("deleted"),
+        *[F.col(k).alias(f"c_{k}") for k in kinds],
+    )
+    return versioned.unionByName(events)
 
 
 def lookup(events: DataFrame, versions: DataFrame, carry: list[str]) -> DataFrame:
@@ -182,37 +243,16 @@ def lookup(events: DataFrame, versions: DataFrame, carry: list[str]) -> DataFram
 
     ``events``: entity, ``known_us``, ``key`` (valid-time probe; TOP for the last) and the
     columns to carry.  ``versions``: entity, ``known_us``, ``key``, ``value``, ``deleted``.
+    Counting the events of each entity is a job of its own, run when this is called.
     """
     ship(events.sparkSession)
-    usable = F.col("entity").isNotNull() & F.col("known_us").isNotNull()
+    usable = F.col("entity").isNotNull() & F.col("known_us").isNotNull() & F.col("key").isNotNull()
     none = events.filter(~usable).select(*carry, F.lit("NO_KEY").alias("state"), F.lit(None).cast("string").alias("value"))
-    asked = events.filter(usable)
-    bucket = F.pmod(F.xxhash64("entity"), F.lit(BUCKETS)).cast("int")
-    counted = {r[0]: r[1] for r in asked.groupBy(bucket.alias("b")).count().collect()}  # at most BUCKETS rows
-    total = sum(counted.values())
-    shards = 1 << max(3, min(10, (total // 50_000).bit_length()))  # 8 to BUCKETS
-    per = [0] * shards
-    for b, n in counted.items():
-        per[b % shards] += n
-    salts = [max(1, -(-n // EVENTS_PER_SALT)) for n in per]
-    shard = F.pmod(F.xxhash64("entity"), F.lit(shards)).cast("int")
-    of = F.element_at(F.array(*[F.lit(s) for s in salts]), shard + 1)
-    typed = {"entity": "string", "known_us": "long", "key": "long"}
-    blank = {f.name: F.lit(None).cast(f.dataType) for f in events.select(*carry).schema}
-    one = versions.filter("entity is not null and known_us is not null and key is not null").groupBy("entity", "known_us", "key").agg(F.max(F.struct("deleted", "value")).alias("v"))
-    ahead = one.select(
-        shard.alias("shard"), F.explode(F.sequence(F.lit(0), of - 1)).alias("salt"), F.lit(0).alias("is_event"),
-        *[F.col(c).cast(t).alias(c) for c, t in typed.items()], F.col("v.value").cast("string").alias("value"), F.coalesce("v.deleted", F.lit(False)).alias("deleted"),
-        *[v.alias(f"c_{k}") for k, v in blank.items()],
-    )
-    after = asked.select(
-        shard.alias("shard"), F.when(of > 1, F.pmod(F.xxhash64(*carry), of)).otherwise(F.lit(0)).cast("int").alias("salt"), F.lit(1).alias("is_event"),
-        *[F.col(c).cast(t).alias(c) for c, t in typed.items()], F.lit(None).cast("string").alias("value"), F.lit(False).alias("deleted"),
-        *[F.col(k).alias(f"c_{k}") for k in blank],
-    )
-    stream = ahead.unionByName(after).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "is_event", F.when(F.col("is_event") == 0, F.col("entity")), F.when(F.col("is_event") == 0, F.col("known_us")), F.when(F.col("is_event") == 0, F.col("key")))
+    # Events are taken in any order; only the versions of an entity must come ahead and in order of known time.
+    first = [F.when(F.col("is_event") == 0, F.col(c)) for c in ("known_us", "key")]
+    ordered = stream(events.filter(usable), versions, carry).repartition("entity", "salt").sortWithinPartitions("entity", "salt", "is_event", *first)
     held = [f"c_{k}" for k in carry]
     kinds = dict(events.select(*carry).dtypes)
     schema = ", ".join([*[f"`c_{k}` {kinds[k]}" for k in carry], "state string", "value string"])
-    found = stream.mapInPandas(lambda it: _serve(it, held), schema)
+    found = ordered.mapInArrow(lambda it: _serve(it, held), schema)
     return found.select(*[F.col(f"c_{k}").alias(k) for k in carry], "state", "value").unionByName(none)

@@ -103,4 +103,11 @@ rate AS (SELECT t.txn, 'customer_risk_rating' AS f, t.crr AS stored, CASE WHEN N
    UNION ALL SELECT t.txn, 'merchant_risk_rating', t.mrr, m.val FROM t LEFT JOIN m ON m.txn = t.txn WHERE t.ts IS NOT NULL)"""
     q["p7_found"] = f"WITH {rated} SELECT txn AS transaction_id, f AS rating_field FROM rate WHERE stored IS DISTINCT FROM val"
     q["p7_ratings"] = f"WITH {rated} SELECT txn AS transaction_id, f AS rating_field, val AS rating FROM rate"
+    q["p7_bitemporal"] = """WITH b AS (SELECT * FROM (SELECT lower(trim(transaction_id)) AS txn, nullif(lower(trim(customer_id)), '') AS k, event_timestamp AS ts, bronze_ingested_at AS loaded,
+   row_number() OVER (PARTITION BY lower(trim(transaction_id)) ORDER BY bronze_ingested_at) AS rn FROM payment_transactions_enriched WHERE event_timestamp IS NOT NULL) WHERE rn = 1),
+ask AS (SELECT txn, k, ts, 'event' AS known_at, ts AS known FROM b UNION ALL SELECT txn, k, ts, 'load', loaded FROM b),
+cv AS (SELECT lower(trim(customer_id)) AS k, ingested_at AS i, source_updated_at AS s, record_version AS v, coalesce(is_deleted, false) AS gone, upper(trim(risk_rating)) AS val FROM master_data_cdc
+   WHERE customer_id IS NOT NULL AND record_version IS NOT NULL AND ingested_at IS NOT NULL AND source_updated_at IS NOT NULL),
+hit AS (SELECT ask.txn, ask.known_at, ask.k IS NULL OR ask.known IS NULL AS no_key, count(cv.k) AS n, arg_max(struct_pack(gone := gone, val := val), epoch_us(s) * 4096 + v) FILTER (i <= known AND s <= ts) AS h FROM ask LEFT JOIN cv ON cv.k = ask.k GROUP BY ALL)
+SELECT txn AS transaction_id, known_at, CASE WHEN no_key THEN 'NO_KEY' WHEN n = 0 THEN 'UNKNOWN' WHEN h IS NULL THEN 'EARLY' WHEN h.gone THEN 'GONE' ELSE 'IN_FORCE' END AS state, CASE WHEN NOT no_key AND NOT h.gone THEN h.val END AS rating FROM hit"""
     return q
