@@ -125,6 +125,27 @@ def test_out_of_order_brute_force(spark, seed):
     assert got == {r[0] for r in ok if any(x[1] == r[1] and x[2] > r[2] and x[3] < r[3] for x in ok)}
 
 
+def test_corrections_come_from_the_change_log(spark, monkeypatch):
+    """Without its corrections in the log, p4_found has none."""
+    from conftest import DATA
+
+    from tidemark.queries import all_queries
+
+    made = late.retractions
+    monkeypatch.setattr(late, "retractions", lambda state: made(state).filter("version = 0 or mult = -1"))
+    found = {r.outcome for r in all_queries()["p4_found"](spark, DATA).select("outcome").distinct().collect()}
+    assert found == {"DROPPED", "OUT_OF_ORDER"}
+
+
+def test_out_of_order_rows_that_repeat_a_number_do_not_meet_in_a_window(spark):
+    """One transaction, three numbers, many rows: the window sees three."""
+    df = spark.range(30_000, numPartitions=4).select(F.col("id").alias("i"), F.lit("t").alias("g"), (F.col("id") % 3).alias("s"), (F.col("id") + F.when(F.col("id") % 3 == 0, 10).otherwise(0)).alias("t"))
+    out = late.out_of_order(df, "g", "s", "t")
+    assert out.filter("overtaken").count() == sum(any(x % 3 > i % 3 and x + (0 if x % 3 else 10) < i + (0 if i % 3 else 10) for x in range(6)) for i in range(30_000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("partial_min")  # printed from the result down: reduced before it is windowed
+
+
 def test_rolling_brute_force(spark):
     rnd, day = random.Random(3), 86_400_000_000
     rows = [(f"t{i % 55}", rnd.choice(["a", "b"]) if i < 55 else None, rnd.randrange(0, 40) * day + rnd.randrange(day), rnd.choice([None, 1.25, -2.0, 3.0])) for i in range(55)]
@@ -232,5 +253,25 @@ def test_references_reasons(spark):
     assert [(r.table, r.orphans) for r in references.missing_by_period(parents, children).collect()] == [("t", 3)]
 
 
+def test_report_sums_the_counters_of_the_groups(spark, monkeypatch):
+    parents = spark.createDataFrame([("t", "a", 10, False), ("t", "a", 30, True), ("t", "late", 50, False)], "table string, key string, first_us long, ceases boolean")
+    versions = spark.createDataFrame([("t|a", 10, 1, "v", False), ("t|a", 30, 2, None, True), ("t|late", 50, 1, "v", False)], "entity string, known_us long, key long, value string, deleted boolean")
+    kids = [("a", 5, "d1"), ("a", 12, "d1"), ("a", 35, "d2"), ("a", 36, "d2"), ("none", 1, "d1"), ("none", None, "d1"), ("none", 3, None), ("late", 1, "d1"), ("late", None, "d1"), ("late", 60, "d2"), (None, 1, "d1")]
+    children = spark.createDataFrame([("t", *k) for k in kids], "table string, key string, at_us long, period string")
+    got = {(r.period, r.reason): r.refs for r in references.report(parents, versions, children).collect()}
+    assert got == {("d1", "MISSING"): 2, (None, "MISSING"): 1, ("d1", "LATER"): 2, ("d2", "DELETED"): 2}
+    monkeypatch.setattr(references, "groups_by_period", lambda p, c, made=references.groups_by_period: made(p, c).filter("false"))
+    assert references.report(parents, versions, children).count() == 0
+
+
+def test_findings_come_from_the_groups(spark, monkeypatch):
+    parents = spark.createDataFrame([("t", "a", 10, False)], "table string, key string, first_us long, ceases boolean")
+    versions = spark.createDataFrame([("t|a", 10, 1, "v", False)], "entity string, known_us long, key long, value string, deleted boolean")
+    children = spark.createDataFrame([("t", "a", 5, "k1"), ("t", "b", 5, "k2")], "table string, key string, at_us long, txn string")
+    assert {(r.txn, r.reason) for r in references.findings(parents, versions, children, ["txn"]).collect()} == {("k1", "LATER"), ("k2", "MISSING")}
+    monkeypatch.setattr(references, "groups", lambda p, c, made=references.groups: made(p, c).filter("false"))
+    assert references.findings(parents, versions, children, ["txn"]).count() == 0
+
+
 def test_dates_are_utc(spark):
     assert datetime(2026, 7, 2).toordinal() - datetime(1970, 1, 1).toordinal() == 20636

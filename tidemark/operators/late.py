@@ -101,29 +101,37 @@ def settled(changes: DataFrame) -> DataFrame:
 
 
 def corrections(deltas: DataFrame, state: DataFrame) -> DataFrame:
-    """The input deltas that made a retraction, each with the version it led to."""
-    made = state.filter("version > 0").select("period", "epoch", "version")
-    return deltas.filter("outcome = 'CORRECTS'").join(made, ["period", "epoch"])
+    """The input deltas behind the corrections in the change log, each with the version it led to.
+
+    The log decides: an event corrects if the log has a new aggregate (multiplicity +1) of
+    its period and epoch beyond the first publication.
+    """
+    made = retractions(state).filter("mult = 1 and version > 0").select("period", "epoch", "version")
+    return deltas.filter("outcome != 'DROPPED' and epoch != -1").join(made, ["period", "epoch"])
 
 
 def out_of_order(events: DataFrame, group: str, sequence: str, arrival: str) -> DataFrame:
     """Adds ``overtaken``: a higher sequence number of the same group arrived strictly earlier.
 
-    Groups are cut into blocks of sequence numbers.  Inside a block a range frame takes
-    the earliest arrival of the higher numbers; blocks above contribute their own
-    minimum, one row each.  A group of millions of rows is therefore many tasks.
+    Rows are first reduced to the least arrival per group and sequence number, combined
+    map-side, so rows that repeat a number do not meet in a window.  Groups are cut into
+    blocks of BLOCK numbers: inside a block a running minimum takes the earliest arrival of
+    the higher numbers, and blocks above contribute their own minimum, one row each.  The
+    result is joined back by group and number, where AQE splits a number of many rows.
     Rows without group, sequence number or arrival are never overtaken and overtake none.
     """
     usable = F.col(group).isNotNull() & F.col(sequence).isNotNull() & F.col(arrival).isNotNull()
     rest = events.filter(~usable).withColumn("overtaken", F.lit(False))
-    rows = events.filter(usable).withColumn("__block", F.expr(f"cast(floor({sequence} / {BLOCK}) as bigint)"))
-    above = Window.partitionBy(group, "__block").orderBy(F.col(sequence).desc()).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__near", F.min(arrival).over(above))
+    rows = events.filter(usable)
+    block = F.expr(f"cast(floor({sequence} / {BLOCK}) as bigint)")
+    least = rows.groupBy(F.col(group).alias("__g"), F.col(sequence).alias("__s")).agg(F.min(arrival).alias("__least")).withColumn("__block", F.expr(f"cast(floor(__s / {BLOCK}) as bigint)"))
+    above = Window.partitionBy("__g", "__block").orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    near = least.withColumn("__near", F.min("__least").over(above)).select("__g", "__s", "__block", "__near")
     # Only groups that reach beyond one block need the second level; usually there are none.
-    spread = rows.filter("__block != 0").select(group).distinct()
-    blocks = events.filter(usable).withColumn("__block", F.expr(f"cast(floor({sequence} / {BLOCK}) as bigint)")).join(spread, group, "left_semi").groupBy(group, "__block").agg(F.min(arrival).alias("__least"))
-    higher = Window.partitionBy(group).orderBy(F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__far", F.min("__least").over(higher)).select(group, "__block", "__far")
-    rows = rows.join(blocks, [group, "__block"], "left")
-    hit = F.coalesce(F.least("__near", "__far") < F.col(arrival), F.lit(False))
-    return rows.withColumn("overtaken", hit).select(*events.columns, "overtaken").unionByName(rest)
+    tall = rows.filter(block != 0).select(F.col(group).alias("__g")).distinct()
+    higher = Window.partitionBy("__g").orderBy(F.col("__block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.select(F.col(group).alias("__g"), block.alias("__block"), F.col(arrival).alias("__a")).join(tall, "__g", "left_semi").groupBy("__g", "__block").agg(F.min("__a").alias("__least"))
+    far = blocks.select("__g", "__block", F.min("__least").over(higher).alias("__far"))
+    ahead = near.join(far, ["__g", "__block"], "left").select("__g", "__s", F.least("__near", "__far").alias("__ahead")).filter("__ahead is not null")
+    found = rows.join(ahead, (rows[group] == ahead["__g"]) & (rows[sequence] == ahead["__s"]), "left")
+    return found.select(*[rows[c] for c in events.columns], F.coalesce(F.col("__ahead") < rows[arrival], F.lit(False)).alias("overtaken")).unionByName(rest)

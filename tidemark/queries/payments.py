@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import code, ident, micros, table
 from tidemark.operators import change_table, exactly_once, history, known_time, late, references, rolling
 from tidemark.operators.history import OPEN
+from tidemark.session import staged
 
 POSITION = ["batch_id", "kafka_partition", "kafka_offset"]
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -88,12 +89,13 @@ def _kept_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Deliveries without event_id take part, in the aggregates and as events that overtake, but are no cases: nothing names them."""
     kept = _kept_events(spark, sf)
     deltas = late.input_deltas(kept)
     corrects = late.corrections(deltas, late.versions(deltas)).select("msg_id", "event_us", "outcome")
     dropped = deltas.filter("outcome = 'DROPPED'").select("msg_id", "event_us", "outcome")
     disordered = late.out_of_order(kept, "group_id", "sequence", "arrival_us").filter("overtaken").select("msg_id", "event_us", F.lit("OUT_OF_ORDER").alias("outcome"))
-    found = corrects.unionByName(dropped).unionByName(disordered)
+    found = corrects.unionByName(dropped).unionByName(disordered).filter("msg_id is not null")
     return found.select(F.col("msg_id").alias("event_id"), F.date_format(F.timestamp_micros("event_us"), "yyyy-MM-dd HH").alias("event_hour"), "outcome")
 
 
@@ -173,10 +175,14 @@ def _probe(merchant: Column, at_us: Column) -> Column:
     return F.when(merchant, at_us * 2 + 1).otherwise(F.lit(known_time.TOP))
 
 
-def _refs(spark: SparkSession, sf: str) -> DataFrame:
-    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("table"), ident(c).alias("key")) for c in _TABLES])).alias("ref")
-    rows = table(spark, sf, "payment_transactions_enriched").select(ident("transaction_id").alias("txn"), micros("event_timestamp").alias("at_us"), F.col("event_date").cast("date").alias("period"), fields)
-    return rows.select("txn", "at_us", "period", "ref.*")
+def _refs(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
+    """The references of all physical rows, or of each transaction once."""
+    rows = table(spark, sf, "payment_transactions_enriched").select(ident("transaction_id").alias("txn"), micros("event_timestamp").alias("at_us"), F.col("event_date").cast("date").alias("period"), *[ident(c).alias(c) for c in _TABLES])
+    if once:  # copies agree in keys and times up to spelling
+        rows = rows.groupBy("txn").agg(F.min(F.struct("at_us", "period", *_TABLES)).alias("r")).select("txn", "r.*")
+    fields = F.explode(F.array(*[F.struct(F.lit(c).alias("table"), F.col(c).alias("key")) for c in _TABLES])).alias("ref")
+    out = rows.select("txn", "at_us", "period", fields).select("txn", "at_us", "period", "ref.*")
+    return out.withColumn("probe", _probe(F.col("table") == "merchant_id", F.col("at_us")))
 
 
 def _parent_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,18 +200,23 @@ def _parents(spark: SparkSession, sf: str, versions: DataFrame) -> DataFrame:
     return _parent_rows(spark, sf).unionByName(lived)
 
 
-def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    versions = _customer_versions(spark, sf).unionByName(_account_versions(spark, sf)).unionByName(_merchant_versions(spark, sf))
-    return references.findings(_parents(spark, sf, versions), versions, _refs(spark, sf), ["txn", "period"])
+def _all_versions(spark: SparkSession, sf: str) -> DataFrame:
+    # The merchants' history, which four branches read, is derived once.
+    merchants = staged(_merchant_versions(spark, sf), "merchant-versions")
+    return _customer_versions(spark, sf).unionByName(_account_versions(spark, sf)).unionByName(merchants)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _findings(spark, sf).select(F.col("txn").alias("transaction_id"), F.col("table").alias("ref_field"), "reason").distinct()
+    versions = _all_versions(spark, sf)
+    found = references.findings(_parents(spark, sf, versions), versions, _refs(spark, sf), ["txn"])
+    return found.select(F.col("txn").alias("transaction_id"), F.col("table").alias("ref_field"), "reason")
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     """Bad references per table, event date and reason."""
-    return _findings(spark, sf).groupBy(F.col("table").alias("ref_field"), F.date_format("period", "yyyy-MM-dd").alias("event_date"), "reason").agg(F.count(F.lit(1)).alias("refs"))
+    versions = _all_versions(spark, sf)
+    out = references.report(_parents(spark, sf, versions), versions, _refs(spark, sf, once=True))
+    return out.select(F.col("table").alias("ref_field"), F.date_format("period", "yyyy-MM-dd").alias("event_date"), "reason", "refs")
 
 
 def p6_missing_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -53,7 +53,7 @@ e AS (SELECT eid, nullif(lower(trim(transaction_id)), '') AS txn, sequence_numbe
 low AS (SELECT *, min(arr) OVER (PARTITION BY txn ORDER BY seq DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead FROM e WHERE txn IS NOT NULL AND seq IS NOT NULL)
 SELECT eid AS event_id, strftime(ts, '%Y-%m-%d %H') AS event_hour, outcome FROM (
   SELECT eid, ts, CASE WHEN delay > 21600000000 THEN 'DROPPED' ELSE 'CORRECTS' END AS outcome FROM e WHERE delay > 7200000000
-  UNION ALL SELECT eid, ts, 'OUT_OF_ORDER' FROM low WHERE ahead < arr)"""
+  UNION ALL SELECT eid, ts, 'OUT_OF_ORDER' FROM low WHERE ahead < arr) WHERE eid IS NOT NULL"""
     q["p4_hourly"] = f"""WITH {timed},
 f AS (SELECT date_trunc('hour', ts) AS h, amount, CASE WHEN delay > 7200000000 THEN epoch_us(arr) // 600000000 END AS ep FROM e WHERE delay <= 21600000000)
 SELECT strftime(h, '%Y-%m-%d %H') AS event_hour, count(*) AS event_count, CAST(sum(coalesce(amount, 0)) AS DOUBLE) AS amount_sum, CAST(count(DISTINCT ep) AS INTEGER) AS corrections FROM f GROUP BY h"""
