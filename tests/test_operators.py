@@ -418,3 +418,23 @@ def test_watermark_deduplication_across_restarts(spark, tmp_path):
         stream = files.stream_table(spark, src, "event_id string, event_timestamp timestamp, delay_seconds int")
         flows.run(flows.trusted(stream), out, ck)
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["a", "b", "late"]
+
+
+# Session
+
+
+def test_machine_local_roots_are_refused_on_clusters():
+    from tidemark import session
+
+    assert session._shared_warehouse("hdfs://host/warehouse/") == "hdfs://host/warehouse"
+    for local in ("file:/home/x/spark-warehouse", "/home/x/spark-warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session._shared_warehouse(local)
+
+
+def test_work_folders_are_there_and_new(spark):
+    from tidemark.session import work_dir
+
+    one, two = work_dir(spark, "t"), work_dir(spark, "t")
+    path = spark._jvm.org.apache.hadoop.fs.Path(one)
+    assert one != two and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -42,8 +42,8 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share; set here only where the cluster names none.
 
-    Without a named folder, a local master gets a temporary one, and a cluster the warehouse,
-    which its executors share.
+    Without a named folder, a local master gets a temporary one, and a cluster its warehouse,
+    unless that is on the machines' own disks, which executors do not share: then this refuses.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -53,16 +53,27 @@ def shared_root(spark: SparkSession) -> str:
         return held.get().rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        return _shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"))
     root = os.path.join(tempfile.gettempdir(), f"tidemark-{uuid.uuid4().hex[:12]}")
     os.makedirs(root, exist_ok=True)
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def _shared_warehouse(warehouse: str) -> str:
+    if warehouse.startswith("file:") or "://" not in warehouse:
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {warehouse} is local to each machine")
+    return warehouse.rstrip("/")
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unused folder below the shared root."""
-    return f"{shared_root(spark)}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused folder below the shared root, which goes with the application that asked for it."""
+    path = f"{shared_root(spark)}/tidemark/{purpose}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
