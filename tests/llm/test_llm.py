@@ -180,6 +180,43 @@ def test_pareto_inclusion_follows_the_weights(spark):
     assert len(mixed) == 1000 and 2.3 < heavy / (1000 - heavy) < 3.9
 
 
+def test_scale_solves_for_the_quota_with_certain_units():
+    rnd = random.Random(6)
+    for _ in range(30):
+        units = [(rnd.choice([1.0, 2.0, 8.0, 400.0]), rnd.randrange(1, 50)) for _ in range(rnd.choice([1, 5, 200]))]
+        bins = {}
+        for w, n in units:
+            b = int(np.floor(np.log2(w) * mixing.FINE))
+            t, x = bins.get(b, (0, 0.0))
+            bins[b] = (t + n, x + n * w)
+        rest = rnd.random() * sum(n for _, n in units) * 0.98
+        c = mixing.scale([(b, t, x) for b, (t, x) in bins.items()], rest)
+        assert sum(min(1.0, c * w) * n for w, n in units) == pytest.approx(rest, rel=1e-6)
+    assert mixing.scale([], 5.0) == mixing.scale([(0, 10, 10.0)], 0.0) == 0.0
+
+
+def test_inclusion_rates_are_p(spark):
+    """Weights 1, 2 and 5 and some that are certain: each class is drawn at its own p, and the size is fixed."""
+    kinds = [1.0, 2.0, 5.0, 5000.0]
+    rows = [(i, "a", 10, kinds[3] if i % 100 == 0 else kinds[i % 3]) for i in range(24_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, weight double").unionByName(spark.createDataFrame([(10**6 + i, "b", 10, 1.0) for i in range(6000)], "doc_id long, source string, n_tokens long, weight double"))
+    took = {r.doc_id for r in mixing.mix(docs, targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)])).filter("source = 'a'").collect()}
+    assert len(took) == 6000  # the quota of a is the whole of b
+    per = {k: [r[0] in took for r in rows if r[3] == k] for k in kinds}
+    assert all(per[5000.0])
+    c = (6000 - len(per[5000.0])) / sum(k * len(per[k]) for k in kinds[:3])
+    for k in kinds[:3]:
+        p, n = c * k, len(per[k])
+        assert abs(sum(per[k]) / n - p) < 4 * (p * (1 - p) / n) ** 0.5
+
+
+def test_larger_documents_are_drawn_more_often(spark):
+    docs = spark.createDataFrame([(i, "a", 10 if i % 2 else 30) for i in range(8000)] + [(10**6 + i, "b", 10) for i in range(4000)], "doc_id long, source string, n_tokens long")
+    took = mixing.mix(docs, targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)])).filter("source = 'a'").collect()
+    large = sum(r.n_tokens == 30 for r in took)
+    assert sum(r.n_tokens for r in took) == 40_000 and 2.6 < large / (len(took) - large) < 3.4
+
+
 def test_equal_ranks_and_one_document(spark):
     docs = spark.createDataFrame([(7, "a", 50)], "doc_id long, source string, n_tokens long")
     assert [(r.doc_id, r.copies) for r in mixing.mix(docs, targets(spark, [("a", 1.0, 3)])).collect()] == [(7, 3)]

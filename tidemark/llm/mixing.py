@@ -4,19 +4,23 @@ Method: Pareto order sampling.  A source that must supply more than its own size
 whole copies of every document first; the rest of its quota is a fixed-size sample without
 replacement.  Each document gets a random u and an inclusion probability p, and the ranking
 variable (u / (1 - u)) / (p / (1 - p)); the smallest ranks are taken until the quota is met.
-p differs between sources (the fraction of a copy still owed) and, inside a source, with
-``weight`` where one is given, so the samples have unequal probabilities and a fixed size.
+
+Inclusion probabilities are unequal: p is proportional to the document's size, or to
+``weight`` where one is given.  Documents whose share would exceed 1 are certain; they are
+taken out and the others' p is solved again, until the expected tokens are the quota.
 
 Size of the mix: the largest one whose target shares can all be met within the repeat
 caps, min over sources of cap x size / share.  A source without any tokens cannot
 contribute; the others keep the proportions of their targets, and the report shows it.
 
-Scale: ranks are never sorted globally.  They are mapped to (0, 1) monotonically and counted
-in 4096 bins per source, combined map-side; the bin where the quota is reached is cut into
-4096 again; only the documents of that one bin are ranked.  With hash-random u a bin of the
-second level holds one document in sixteen million, in expectation.  Per-source totals, the
-only thing the driver sees, are one row per target source.  u is a hash of the document id,
-so a task that runs again draws the same numbers.
+Scale: two aggregations, combined map-side, tell the driver all it needs.  The first counts
+tokens by source and weight, in bins a 64th of a power of two wide, and gives sizes, quotas
+and p.  The second counts tokens by source and rank.  As p makes the expected tokens the
+quota, the cut lies near rank 1, within the deviation of n random draws; bins are the
+narrower the nearer they lie to it (a 64th of their distance), so the bin that holds the
+cut has about sqrt(n) / 64 documents, and only those are sorted.  Both give at most a few
+thousand rows per target source.  u is a hash of the document id, so a task that runs again
+draws the same numbers.
 
 Defined results: documents of other or no source, and those without tokens, stay out;
 equal ranks fall to the document id; a source with share 0 or cap 0 contributes nothing;
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import label
 
-BINS = 4096
+#: Bins per power of two, of weights and of distances from rank 1; powers that are told apart.
+FINE, POWERS = 64, 40
 
 
 @dataclass(frozen=True)
@@ -65,82 +70,89 @@ def quotas(targets: list[tuple[str, float, int]], sizes: dict[str, int]) -> list
     return [Quota(s, share, cap, sizes[s], total * share / whole) for s, share, cap in usable]
 
 
+def scale(bins: list[tuple[int, float, float]], rest: float) -> float:
+    """The factor c of p = min(1, c x weight) that makes the expected tokens ``rest``.
+
+    ``bins``: weight bin, tokens, tokens x weight.  Bins are taken out as certain from the
+    heaviest down, until no p of the others exceeds 1.
+    """
+    tokens, weighted = sum(t for _, t, _ in bins), sum(x for _, _, x in bins)
+    if rest <= 0 or not weighted:
+        return 0.0
+    certain = 0.0
+    for b, t, x in sorted(bins, reverse=True):
+        c = (rest - certain) / weighted if weighted > 0 else 0.0
+        if c * 2.0 ** (b / FINE) <= 1 or certain + t >= rest or certain + t >= tokens:
+            return max(c, 0.0)
+        certain += t
+        weighted -= x
+    return max((rest - certain) / weighted, 0.0) if weighted > 0 else 0.0
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """``doc_id, source, n_tokens, copies`` of every document in the mix.
 
-    ``documents``: doc_id, source, n_tokens (and ``weight``, positive, if wanted);
-    ``targets``: source, target_share, max_repeats.  ``documents`` is read four times:
-    pass a stored table.
+    ``documents``: doc_id, source, n_tokens (and ``weight``, positive, if p is not to follow
+    the size); ``targets``: source, target_share, max_repeats.  ``documents`` is read several
+    times: pass a stored table.  Two jobs run when this is called.
     """
+    spark = documents.sparkSession
     told = targets.select(label("source").alias("source"), "target_share", "max_repeats").filter("source is not null and target_share is not null").groupBy("source").agg(F.sum("target_share").alias("s"), F.max("max_repeats").alias("m"))
     wanted = [(r[0], float(r[1]), int(r[2] or 0)) for r in told.orderBy("source").collect()]
-    weight = F.greatest(F.col("weight").cast("double"), F.lit(1e-9)) if "weight" in documents.columns else F.lit(1.0)
+    weight = F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(1e-9)) if "weight" in documents.columns else F.col("n_tokens").cast("double")
     docs = documents.select("doc_id", label("source").alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"), weight.alias("w")).filter(F.col("source").isin([s for s, _, _ in wanted]) & (F.col("n_tokens") > 0))
-    per = {r[0]: (r[1], r[2], r[3]) for r in docs.groupBy("source").agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("w")), F.max("w")).collect()}
-    owed = quotas(wanted, {s: n for s, (n, _, _) in per.items()})
+    limit = FINE * POWERS
+    weight_bin = F.greatest(F.least(F.floor(F.log2("w") * FINE), F.lit(limit)), F.lit(-limit)).alias("b")
+    by_weight: dict[str, list[tuple[int, float, float]]] = {s: [] for s, _, _ in wanted}
+    for s, b, t, x in docs.groupBy("source", weight_bin).agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("w"))).collect():
+        by_weight[s].append((b, t, x))
+    owed = quotas(wanted, {s: sum(t for _, t, _ in bins) for s, bins in by_weight.items()})
     if not owed:
         return docs.filter("false").select("doc_id", "source", "n_tokens", F.lit(0).alias("copies"))
 
-    def by_source(of: dict[str, float], kind: str):
-        pick = F.lit(None).cast(kind)
-        for s, v in of.items():
-            pick = F.when(F.col("source") == s, F.lit(v).cast(kind)).otherwise(pick)
-        return pick
-
-    # Inclusion probability: proportional to the weight, so that the expected tokens are the rest of the quota.
-    scale = {q.source: (q.rest / per[q.source][1] if per[q.source][1] else 0.0) for q in owed}
+    plan = spark.createDataFrame([(q.source, scale(by_weight[q.source], q.rest), q.whole) for q in owed], "source string, c double, whole int")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-    p = F.least(F.greatest(by_source(scale, "double") * F.col("w"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    p = F.least(F.greatest(F.col("c") * F.col("w"), F.lit(1e-12)), F.lit(1 - 1e-12))
     odds = (u / (1 - u)) / (p / (1 - p))
-    ranked = docs.filter(F.col("source").isin([q.source for q in owed])).withColumn("x", odds / (1 + odds))
-
-    first = F.least(F.floor(F.col("x") * BINS), F.lit(BINS - 1)).cast("int")
-    second = F.least(F.floor((F.col("x") * BINS - F.col("b1")) * BINS), F.lit(BINS - 1)).cast("int")
-    ranked = ranked.withColumn("b1", first).withColumn("b2", second)
-
-    # At most BINS rows per target source come back, and there are as many of those as targets.
-    level1 = _reached(ranked, "b1", {q.source: q.rest for q in owed})
-    inside = ranked.filter(F.col("b1") == by_source({s: b for s, (b, _) in level1.items()}, "int"))
-    level2 = _reached(inside, "b2", {q.source: q.rest - level1[q.source][1] for q in owed})
-    cut1, cut2 = by_source({s: b for s, (b, _) in level1.items()}, "int"), by_source({s: b for s, (b, _) in level2.items()}, "int")
-    left = by_source({q.source: q.rest - level1[q.source][1] - level2[q.source][1] for q in owed}, "double")
-
-    sure = ranked.filter((F.col("b1") < cut1) | ((F.col("b1") == cut1) & (F.col("b2") < cut2))).select("doc_id", "source", "n_tokens", F.lit(1).alias("extra"))
-    edge = ranked.filter((F.col("b1") == cut1) & (F.col("b2") == cut2))
+    off = F.col("x") - 0.5
+    level = F.least(F.floor(-F.log2(F.greatest(F.abs(off), F.lit(2.0 ** -(POWERS - 1)))) * FINE), F.lit(limit - 1)).cast("int")
+    # One row per target source is broadcast.
+    ranked = docs.join(F.broadcast(plan), "source").withColumn("x", odds / (1 + odds)).withColumn("b", F.when(off < 0, level - limit).otherwise(limit - level))
+
+    cut = _reached(ranked, {q.source: q.rest for q in owed})
+    edges = F.broadcast(spark.createDataFrame([(s, b, float(n)) for s, (b, n) in cut.items()], "source string, cut int, left double"))
+    placed = ranked.join(edges, "source")
+    one = ["doc_id", "source", "n_tokens"]
+    sure = placed.filter("b < cut").select(*one, F.lit(1).alias("extra"))
     upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("x", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("fits", upto <= left)
-    taken = edge.filter("fits").select("doc_id", "source", "n_tokens", F.lit(1).alias("extra"))
+    edge = placed.filter("b = cut").withColumn("upto", upto)
+    taken = edge.filter("upto <= left").select(*one, F.lit(1).alias("extra"))
 
     # What the next document in order would overshoot is filled by the one that leaves least.
-    filled = {r[0]: r[1] for r in taken.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    gaps = {q.source: q.rest - level1[q.source][1] - level2[q.source][1] - filled.get(q.source, 0) for q in owed}
-    gap = by_source(gaps, "double")
-    beyond = ranked.filter((F.col("b1") > cut1) | ((F.col("b1") == cut1) & (F.col("b2") > cut2))).select("doc_id", "source", "n_tokens", "x")
-    beyond = beyond.unionByName(edge.filter("not fits").select("doc_id", "source", "n_tokens", "x")).withColumn("off", F.abs(F.col("n_tokens") - gap))
-    fill = (
-        beyond.filter(F.col("off") < gap).groupBy("source").agg(F.min(F.struct("off", "x", "doc_id", "n_tokens")).alias("m"))
-        .select("m.doc_id", "source", "m.n_tokens", F.lit(1).alias("extra"))
-    )
-    whole = by_source({q.source: q.whole for q in owed}, "int")
-    certain = ranked.filter(whole > 0).select("doc_id", "source", "n_tokens", whole.alias("extra"))
+    filled = taken.groupBy("source").agg(F.sum("n_tokens").alias("filled"))
+    gaps = edges.join(filled, "source", "left").select("source", (F.col("left") - F.coalesce("filled", F.lit(0))).alias("gap"))
+    beyond = placed.filter("b > cut").select(*one, "x").unionByName(edge.filter("upto > left").select(*one, "x"))
+    near = beyond.join(F.broadcast(gaps), "source").withColumn("off", F.abs(F.col("n_tokens") - F.col("gap"))).filter("off < gap")
+    fill = near.groupBy("source").agg(F.min(F.struct("off", "x", "doc_id", "n_tokens")).alias("m")).select("m.doc_id", "source", "m.n_tokens", F.lit(1).alias("extra"))
+    certain = ranked.filter("whole > 0").select(*one, F.col("whole").alias("extra"))
     copies = certain.unionByName(sure).unionByName(taken).unionByName(fill)
     return copies.groupBy("doc_id").agg(F.first("source").alias("source"), F.first("n_tokens").alias("n_tokens"), F.sum("extra").cast("int").alias("copies"))
 
 
-def _reached(rows: DataFrame, bin_column: str, quota: dict[str, float]) -> dict[str, tuple[int, int]]:
-    """Per source the bin in which the quota is reached, and the tokens of the bins before it."""
+def _reached(ranked: DataFrame, quota: dict[str, float]) -> dict[str, tuple[int, float]]:
+    """Per source the bin in which the quota is reached, and what is left of it there."""
     sums: dict[str, list[tuple[int, int]]] = {s: [] for s in quota}
-    for s, b, n in rows.groupBy("source", bin_column).agg(F.sum("n_tokens")).collect():
+    for s, b, n in ranked.groupBy("source", "b").agg(F.sum("n_tokens")).collect():
         sums[s].append((b, n))
     out = {}
     for s, want in quota.items():
-        below, hit = 0, BINS
+        below, hit = 0, FINE * POWERS + 1
         for b, n in sorted(sums[s]):
             if below + n >= want:
                 hit = b
                 break
             below += n
-        out[s] = (hit, below)
+        out[s] = (hit, want - below)
     return out
 
 
