@@ -217,6 +217,15 @@ def test_larger_documents_are_drawn_more_often(spark):
     assert sum(r.n_tokens for r in took) == 40_000 and 2.6 < large / (len(took) - large) < 3.4
 
 
+def test_a_huge_document_does_not_block_a_source(spark):
+    rnd = random.Random(9)
+    rows = [(1, "a", 1_000_000), (2, "a", 6_000)] + [(i, "a", rnd.randrange(1, 90)) for i in range(3, 900)] + [(10**6, "b", 10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    for seed in range(3):
+        took = mixing.mix(docs, targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)]), seed).filter("source = 'a'").collect()
+        assert abs(sum(r.n_tokens for r in took) - 10_000) <= 2 and 1 not in {r.doc_id for r in took}
+
+
 def test_equal_ranks_and_one_document(spark):
     docs = spark.createDataFrame([(7, "a", 50)], "doc_id long, source string, n_tokens long")
     assert [(r.doc_id, r.copies) for r in mixing.mix(docs, targets(spark, [("a", 1.0, 3)])).collect()] == [(7, 3)]

@@ -24,8 +24,8 @@ draws the same numbers.
 
 Defined results: documents of other or no source, and those without tokens, stay out;
 equal ranks fall to the document id; a source with share 0 or cap 0 contributes nothing;
-where the next document in order is larger than what is left of a quota, the remaining
-document that comes nearest to it is taken instead, if that helps.
+a document larger than what is left of a quota is passed over; what no document in order
+fits is filled by the remaining one that comes nearest to it, if that helps.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from tidemark.functions import label
 
 #: Bins per power of two, of weights and of distances from rank 1; powers that are told apart.
 FINE, POWERS = 64, 40
+#: Documents around the cut among which those that fit are looked for.
+ZONE = 1000
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     if not owed:
         return docs.filter("false").select("doc_id", "source", "n_tokens", F.lit(0).alias("copies"))
 
-    plan = spark.createDataFrame([(q.source, scale(by_weight[q.source], q.rest), q.whole) for q in owed], "source string, c double, whole int")
+    plan = spark.createDataFrame([(q.source, scale(by_weight[q.source], q.rest), q.whole, q.rest) for q in owed], "source string, c double, whole int, rest double")
     u = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
     p = F.least(F.greatest(F.col("c") * F.col("w"), F.lit(1e-12)), F.lit(1 - 1e-12))
     odds = (u / (1 - u)) / (p / (1 - p))
@@ -119,40 +121,51 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     # One row per target source is broadcast.
     ranked = docs.join(F.broadcast(plan), "source").withColumn("x", odds / (1 + odds)).withColumn("b", F.when(off < 0, level - limit).otherwise(limit - level))
 
-    cut = _reached(ranked, {q.source: q.rest for q in owed})
-    edges = F.broadcast(spark.createDataFrame([(s, b, float(n)) for s, (b, n) in cut.items()], "source string, cut int, left double"))
-    placed = ranked.join(edges, "source")
+    frame = ranked.filter("n_tokens <= rest")  # a document larger than all that is owed cannot be part of it
+    zones = F.broadcast(spark.createDataFrame([(s, *z) for s, z in _reached(frame, {q.source: q.rest for q in owed}).items()], "source string, cut int, stop int, left double"))
+    placed = frame.join(zones, "source")
     one = ["doc_id", "source", "n_tokens"]
     sure = placed.filter("b < cut").select(*one, F.lit(1).alias("extra"))
-    upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("x", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = placed.filter("b = cut").withColumn("upto", upto)
-    taken = edge.filter("upto <= left").select(*one, F.lit(1).alias("extra"))
-
-    # What the next document in order would overshoot is filled by the one that leaves least.
-    filled = taken.groupBy("source").agg(F.sum("n_tokens").alias("filled"))
-    gaps = edges.join(filled, "source", "left").select("source", (F.col("left") - F.coalesce("filled", F.lit(0))).alias("gap"))
-    beyond = placed.filter("b > cut").select(*one, "x").unionByName(edge.filter("upto > left").select(*one, "x"))
-    near = beyond.join(F.broadcast(gaps), "source").withColumn("off", F.abs(F.col("n_tokens") - F.col("gap"))).filter("off < gap")
-    fill = near.groupBy("source").agg(F.min(F.struct("off", "x", "doc_id", "n_tokens")).alias("m")).select("m.doc_id", "source", "m.n_tokens", F.lit(1).alias("extra"))
+
+    # Around the cut documents are taken in order while they fit; those that do not are passed over.
+    row = F.struct("x", "doc_id", "n_tokens")
+    nothing = F.struct(F.col("left").alias("left"), F.expr("cast(array() as array<struct<x: double, doc_id: " + dict(docs.dtypes)["doc_id"] + ", n_tokens: bigint>>)").alias("took"))
+    fits = lambda acc, d: F.when(d["n_tokens"] <= acc["left"], F.struct((acc["left"] - d["n_tokens"]).alias("left"), F.concat(acc["took"], F.array(d)).alias("took"))).otherwise(acc)
+    zone = placed.filter("b between cut and stop").groupBy("source").agg(F.first("left").alias("left"), F.sort_array(F.collect_list(row)).alias("rows")).select("source", F.aggregate("rows", nothing, fits).alias("z"))
+    taken = zone.select("source", F.explode("z.took").alias("d")).select("d.doc_id", "source", "d.n_tokens", F.lit(1).alias("extra"))
+
+    # What then is left is filled by the one document that leaves least.
+    gaps = zones.join(zone.select("source", F.col("z.left").alias("still")), "source", "left").select("source", F.coalesce("still", "left").alias("gap"))
+    beyond = placed.filter("b >= cut").join(F.broadcast(gaps), "source").withColumn("off", F.abs(F.col("n_tokens") - F.col("gap"))).filter("off < gap")
+    beyond = beyond.join(taken.select("doc_id"), "doc_id", "left_anti")
+    fill = beyond.groupBy("source").agg(F.min(F.struct("off", "x", "doc_id", "n_tokens")).alias("m")).select("m.doc_id", "source", "m.n_tokens", F.lit(1).alias("extra"))
     certain = ranked.filter("whole > 0").select(*one, F.col("whole").alias("extra"))
     copies = certain.unionByName(sure).unionByName(taken).unionByName(fill)
     return copies.groupBy("doc_id").agg(F.first("source").alias("source"), F.first("n_tokens").alias("n_tokens"), F.sum("extra").cast("int").alias("copies"))
 
 
-def _reached(ranked: DataFrame, quota: dict[str, float]) -> dict[str, tuple[int, float]]:
-    """Per source the bin in which the quota is reached, and what is left of it there."""
-    sums: dict[str, list[tuple[int, int]]] = {s: [] for s in quota}
-    for s, b, n in ranked.groupBy("source", "b").agg(F.sum("n_tokens")).collect():
-        sums[s].append((b, n))
+def _reached(frame: DataFrame, quota: dict[str, float]) -> dict[str, tuple[int, int, float]]:
+    """Per source the bin in which the quota is reached, the last bin looked at for what fits, and what is left at the first.
+
+    The second is where the bins hold as much as is left without their largest documents,
+    or ZONE documents.
+    """
+    sums: dict[str, list[tuple[int, int, int, int]]] = {s: [] for s in quota}
+    for s, *r in frame.groupBy("source", "b").agg(F.sum("n_tokens"), F.max("n_tokens"), F.count(F.lit(1))).collect():
+        sums[s].append(tuple(r))
     out = {}
     for s, want in quota.items():
-        below, hit = 0, FINE * POWERS + 1
-        for b, n in sorted(sums[s]):
-            if below + n >= want:
-                hit = b
-                break
-            below += n
-        out[s] = (hit, want - below)
+        bins, below, at = sorted(sums[s]), 0, 0
+        while at < len(bins) and below + bins[at][1] < want:
+            below += bins[at][1]
+            at += 1
+        left, stop, room, seen = want - below, at, 0, 0
+        while stop < len(bins) - 1 and room < left and seen < ZONE:
+            room += bins[stop][1] - bins[stop][2]
+            seen += bins[stop][3]
+            stop += 1
+        nowhere = FINE * POWERS + 1
+        out[s] = (bins[at][0], bins[stop][0], left) if at < len(bins) else (nowhere, nowhere, left)
     return out
 
 
