@@ -260,6 +260,41 @@ def test_no_false_negatives_and_false_positive_rate(samples):
     assert (np.abs(seen - filters.false) < 5e-4).all()
 
 
+def test_more_than_sixty_four_languages():
+    rnd = random.Random(12)
+    made = {}
+    for i in range(150):
+        letters = [rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)]
+        made[f"l{i:03d}"] = ["".join(rnd.choice([*letters, " "]) for _ in range(400)) for _ in range(3)]
+    filters = language.Filters.fit([(g, t) for g, ts in made.items() for t in ts[:2]])
+    assert filters.words.shape[1] == 3 and (filters.false <= language.FALSE_RATE).all()
+    found = language.judge(["".join(ts[0][:300]) for ts in made.values()], filters)
+    assert [f[0][1] for f in found] == list(made)
+
+
+def test_slots_follow_from_the_ngrams_found(samples):
+    """Ten times the text, more slots: the false-positive rate stays where it is."""
+    rnd = random.Random(13)
+    few = language.Filters.fit(samples)
+    many = language.Filters.fit(samples + [("en", " ".join("".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(7)) for _ in range(20_000)))])
+    assert len(many.words) > len(few.words) and many.false.max() <= language.FALSE_RATE and few.false.max() <= language.FALSE_RATE
+
+
+def test_fit_on_executors_equals_fit_on_the_driver(spark, samples):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    aliases = {r[0].strip().lower(): r[1].strip().lower() for r in spark.read.parquet(f"{DATA}/lang_aliases.parquet").select("alias", "lang").collect() if r[0] and r[1]}
+    got = language.fit_filters(spark.read.parquet(f"{DATA}/lang_samples.parquet"), docs.repartition(5), aliases)
+    first = language.Filters.fit(sorted(samples))
+    words = language._blank(len(first.langs))
+    language._mark_all(words, first.langs, sorted(samples))
+    for r in docs.filter("text is not null").collect():
+        g = aliases.get((r.lang or "").strip().lower())
+        if g in first.langs:
+            language._mark(words, first.langs.index(g), "\n".join(language._confirmed(r.text, first.langs.index(g), first)))
+    want = language.Filters.of(first.langs, words)
+    assert got.langs == want.langs and np.array_equal(got.words, want.words)
+
+
 def test_lines_quotes_codes_and_stripped_accents(samples):
     filters = language.Filters.fit(samples)
     de, en, fr = (next(t for g, t in samples if g == lang and len(t) > 60) for lang in ("de", "en", "fr"))

@@ -7,9 +7,12 @@ and language the hits are counted (popcounts), each language's expected false po
 are taken off, and the greatest corrected count decides.
 
 The filters are fitted on the correctly labelled reference sentences (at most
-MAX_SENTENCES) and then on lines of at most MAX_TRAINING labelled documents, chosen by a
-hash of their id, whose label the first filters confirm.  They are two megabytes of fixed
-size whatever the corpus.  Documents are scored in one pass of ``mapInArrow`` without any shuffle: counting
+MAX_SENTENCES) and then on lines of about MAX_TRAINING labelled documents, whole ones, chosen
+by a hash of their id, whose label the first filters confirm.  Executors set the bits of
+their documents, and the words are combined with OR.  The number of slots follows from the
+n-grams found: the least power of two that keeps the false positives of every language at
+FALSE_RATE (at most MOST_SLOTS).  A word has as many 64-bit parts as the languages need.
+Documents are scored in one pass of ``mapInArrow`` without any shuffle: counting
 is vectorised over a batch, one row per document and line comes out.
 
 Letters are folded (lower case, no accents), so stripped accents and shouting do not
@@ -39,19 +42,22 @@ from tidemark.functions import label
 from tidemark.session import ship
 
 SIZES = (2, 3, 4, 5)
-SLOTS, HASHES = 1 << 18, 3
+HASHES = 3
+#: False positives aimed at, per language and n-gram, and the slots there may be.
+FALSE_RATE, MOST_SLOTS = 0.005, 1 << 22
 #: Letters and corrected hits per letter a line needs to have a language.
 LEAST_LETTERS, LEAST_SHARE = 4, 0.5
 #: And by how much its language must lead: words that all languages use decide nothing.
 LEAST_LEAD = 1.01
-#: Bounds on what the filters are fitted on: reference sentences, labelled documents, and their length.
-MAX_SENTENCES, MAX_TRAINING, MAX_TRAINING_CHARS = 100_000, 2_000, 20_000
+#: Bounds on what the filters are fitted on: reference sentences, and labelled documents in expectation.
+MAX_SENTENCES, MAX_TRAINING = 100_000, 2_000
 #: A line trains only where its best language beats the second by this factor.
 TRAINING_MARGIN = 1.5
 
 SLICE_CHARS = 500_000
 
-_NOISE = re.compile(r"<\|[^|<>]{0,40}\|>|\\[a-zA-Z]|[!-~]*[0-9][!-~]*")
+#: What is taken out of a line first; no match spans lines.
+_NOISE = re.compile(r"<\|[^|<>\n]{0,40}\|>|\\[a-zA-Z]|[!-~]*[0-9][!-~]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,30 +105,35 @@ class Filters:
     """Bit-sliced Bloom filters: ``words[slot]`` has bit l set if language l hit the slot."""
 
     langs: tuple[str, ...]
-    words: np.ndarray
+    words: np.ndarray  # slots x 64-bit parts
     false: np.ndarray  # false-positive rate per language
 
     @staticmethod
     def fit(samples: list[tuple[str, str]]) -> Filters:
         langs = tuple(sorted({lang for lang, _ in samples}))
-        if len(langs) > 64:
-            raise ValueError("at most 64 languages")
-        words = np.zeros(SLOTS, dtype=np.uint64)
-        for bit, lang in enumerate(langs):
-            folded, _ = _letters("\n".join(_NOISE.sub(" ", t) for g, t in samples if g == lang))
-            for n in SIZES:
-                h, _ = _grams(folded, n)
-                for slot in _slots(h):
-                    words[slot] |= np.uint64(1 << bit)
-        fill = np.array([np.count_nonzero(words & np.uint64(1 << b)) / SLOTS for b in range(len(langs))])
+        words = _blank(len(langs))
+        _mark_all(words, langs, samples)
+        return Filters.of(langs, words)
+
+    @staticmethod
+    def of(langs: tuple[str, ...], words: np.ndarray) -> Filters:
+        """Folds the words to the fewest slots that keep FALSE_RATE: slots are taken modulo their number."""
+        fill = _fill(words, len(langs))
+        while len(words) > 1024:
+            half = words[: len(words) // 2] | words[len(words) // 2 :]
+            filled = _fill(half, len(langs))
+            if (filled**HASHES).max(initial=0) > FALSE_RATE:
+                break
+            words, fill = half, filled
         return Filters(langs, words, fill**HASHES)
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, as bits."""
+        """The languages that contain each n-gram, as bits: one word each, or one row of words."""
         out = None
-        for slot in _slots(h):
-            out = self.words[slot] if out is None else out & self.words[slot]
-        return out
+        for slot in _slots(h, len(self.words)):
+            hit = self.words.take(slot, axis=0)
+            out = hit if out is None else out & hit
+        return out[:, 0] if out.shape[1] == 1 else out
 
     def score(self, folded: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
         """Corrected popcounts, lines x languages, averaged over the n-gram sizes."""
@@ -133,7 +144,8 @@ class Filters:
                 continue
             at = line[end]
             starts = np.flatnonzero(np.diff(at, prepend=-1))
-            bits = np.unpackbits(self.masks(h).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width], axis=1, bitorder="little", count=len(self.langs))
+            held = self.masks(h).astype("<u8").reshape(len(h), -1).view(np.uint8)
+            bits = np.unpackbits(held[:, : self.width], axis=1, bitorder="little", count=len(self.langs))
             hits = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
             asked = np.diff(starts, append=len(at))[:, None]
             total[at[starts]] += np.maximum(0, (hits - asked * self.false) / (1 - self.false))
@@ -144,10 +156,33 @@ class Filters:
         return -(-len(self.langs) // 8)
 
 
-def _slots(h: np.ndarray) -> Iterator[np.ndarray]:
+def _blank(languages: int) -> np.ndarray:
+    return np.zeros((MOST_SLOTS, max(1, -(-languages // 64))), dtype=np.uint64)
+
+
+def _mark(words: np.ndarray, bit: int, text: str) -> None:
+    """Set a language's bit in the slots of all n-grams of a text."""
+    folded, _ = _letters(_NOISE.sub(" ", text))
+    for n in SIZES:
+        h, _ = _grams(folded, n)
+        for slot in _slots(h, len(words)):
+            words[slot, bit // 64] |= np.uint64(1 << bit % 64)
+
+
+def _mark_all(words: np.ndarray, langs: tuple[str, ...], samples: list[tuple[str, str]]) -> None:
+    for bit, lang in enumerate(langs):
+        _mark(words, bit, "\n".join(t for g, t in samples if g == lang))
+
+
+def _fill(words: np.ndarray, languages: int) -> np.ndarray:
+    """The share of slots each language has set."""
+    return np.array([np.count_nonzero(words[:, b // 64] & np.uint64(1 << b % 64)) / len(words) for b in range(languages)])
+
+
+def _slots(h: np.ndarray, slots: int) -> Iterator[np.ndarray]:
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     for k in range(HASHES):
-        yield ((a + np.uint64(k) * b) & np.uint64(SLOTS - 1)).astype(np.int64)
+        yield ((a + np.uint64(k) * b) & np.uint64(slots - 1)).astype(np.int64)
 
 
 #: Quotations do not train: they may be in another language.  Borrowed terms do, under
@@ -160,24 +195,44 @@ def fit_filters(samples: DataFrame, documents: DataFrame | None = None, aliases:
     rows = samples.select(label("lang").alias("lang"), "sample_text").filter("lang is not null and sample_text is not null").orderBy("lang", "sample_text").limit(MAX_SENTENCES).collect()
     known = [(r[0], r[1]) for r in rows]
     first = Filters.fit(known)
-    if documents is None or not aliases:
+    if documents is None or not aliases or not known:
         return first
-    named = documents.select("text", label("lang").alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    fit = named.filter(F.col("lang").isin(list(aliases)) & (F.length("text") <= MAX_TRAINING_CHARS))
-    # A hash below a threshold: the same documents every time, about max_training of them, never twice as many.
-    share = min(1.0, max_training / max(1, fit.count()))
-    chosen = fit.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * max_training).select("text", "lang").collect()
-    more = []
-    for text, lang in chosen:
-        lines = [_ASIDE.sub(" ", x) for x in text.split("\n")]
-        folded, line = _letters("\n".join(_NOISE.sub(" ", x) for x in lines))
-        score = first.score(folded, line, len(lines))
-        bit = first.langs.index(aliases[lang]) if aliases[lang] in first.langs else -1
-        if bit < 0:
-            continue
-        own, rest = score[:, bit], np.delete(score, bit, axis=1).max(axis=1, initial=0)
-        more += [(aliases[lang], lines[i]) for i in np.flatnonzero((own > 0) & (own >= TRAINING_MARGIN * rest))]
-    return Filters.fit(known + more)
+    named = documents.select("text", label("lang").alias("lang"), F.xxhash64("doc_id").alias("h")).filter(F.col("lang").isin(list(aliases)) & F.col("text").isNotNull())
+    # A hash below a threshold: the same documents every time, about max_training of them.
+    share = min(1.0, max_training / max(1, named.count()))
+    chosen = named.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "lang")
+    ship(documents.sparkSession)
+    held = documents.sparkSession.sparkContext.broadcast((first, aliases))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, names = held.value
+        words = _blank(len(model.langs))
+        for batch in batches:
+            for text, tag in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
+                if names[tag] in model.langs:
+                    bit = model.langs.index(names[tag])
+                    lines = _confirmed(text, bit, model)
+                    if lines:
+                        _mark(words, bit, "\n".join(lines))
+        for part in range(words.shape[1]):
+            at = np.flatnonzero(words[:, part])
+            yield pa.record_batch([pa.array(at * words.shape[1] + part), pa.array(words[at, part].view(np.int64))], ["place", "bits"])
+
+    # At most MOST_SLOTS words come back.
+    marked = chosen.mapInArrow(mark, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = _blank(len(first.langs))
+    words.reshape(-1)[marked["place"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+    _mark_all(words, first.langs, known)
+    return Filters.of(first.langs, words)
+
+
+def _confirmed(text: str, bit: int, model: Filters) -> list[str]:
+    """The lines of a text that the filters find, by TRAINING_MARGIN, to be in the language."""
+    lines = [_ASIDE.sub(" ", x) for x in text.split("\n")]
+    folded, line = _letters(_NOISE.sub(" ", "\n".join(lines)))
+    score = model.score(folded, line, len(lines))
+    own, rest = score[:, bit], np.delete(score, bit, axis=1).max(axis=1, initial=0)
+    return [lines[i] for i in np.flatnonzero((own > 0) & (own >= TRAINING_MARGIN * rest))]
 
 
 def judge(texts: list[str | None], filters: Filters) -> list[list[tuple[int, str, float, int]]]:
@@ -200,13 +255,13 @@ def _judge(texts: list[str | None], filters: Filters) -> list[list[tuple[int, st
         for part in (text or "").split("\n"):
             if part.strip():
                 no += 1
-                clean.append(_NOISE.sub(" ", part))
+                clean.append(part)
                 owner.append(i)
                 numbers.append(no)
     out: list[list[tuple[int, str, float, int]]] = [[] for _ in texts]
     if not clean:
         return out
-    folded, line = _letters("\n".join(clean))
+    folded, line = _letters(_NOISE.sub(" ", "\n".join(clean)))
     letters = np.bincount(line[folded != 0], minlength=len(clean))
     score = filters.score(folded, line, len(clean))
     best = score.argmax(axis=1)
