@@ -57,7 +57,7 @@ TRAINING_MARGIN = 1.5
 SLICE_CHARS = 500_000
 
 #: What is taken out of a line first; no match spans lines.
-_NOISE = re.compile(r"<\|[^|<>\n]{0,40}\|>|\\[a-zA-Z]|[!-~]*[0-9][!-~]*")
+_NOISE = re.compile(r"<\|[^|<>\n]{0,40}\|>|\\[a-zA-Z]|[!-/:-~]*+[0-9][!-~]*")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,17 +87,27 @@ def _letters(text: str) -> tuple[np.ndarray, np.ndarray]:
     return folded[keep], line[keep]
 
 
-def _grams(folded: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams and the positions they end on; none spans more than one gap."""
-    if len(folded) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    h = np.full(len(folded) - n + 1, n, dtype=np.uint64)
-    for j in range(n):
-        h = (h ^ folded[j : len(folded) - n + 1 + j].astype(np.uint64)) * _MIX
+def _all_grams(folded: np.ndarray, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size, in order, hashes of the n-grams and the positions they end on; none ends in a gap.
+
+    The hash of n letters goes on from that of the n - 1 before the last.
+    """
+    letters = folded.astype(np.uint64)
+    solid = folded != 0
+    h = np.full(len(letters) + 1, 0x632BE59B, dtype=np.uint64)  # not 0, which a leading gap would leave as it is
+    for n in range(1, max(sizes) + 1):
+        h = h[:-1] ^ letters[n - 1 :]
+        h *= _MIX
         h ^= h >> np.uint64(29)
-    end = np.arange(n - 1, len(folded))
-    ok = folded[end] != 0
-    return h[ok], end[ok]
+        if not len(h):
+            break
+        if n in sizes:
+            ok = solid[n - 1 :]
+            yield h[ok], np.flatnonzero(ok) + (n - 1)
+
+
+def _grams(folded: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return next(_all_grams(folded, (n,)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
 
 
 @dataclass(frozen=True)
@@ -138,8 +148,7 @@ class Filters:
     def score(self, folded: np.ndarray, line: np.ndarray, lines: int) -> np.ndarray:
         """Corrected popcounts, lines x languages, averaged over the n-gram sizes."""
         total = np.zeros((lines, len(self.langs)))
-        for n in SIZES:
-            h, end = _grams(folded, n)
+        for h, end in _all_grams(folded):
             if not len(h):
                 continue
             at = line[end]
@@ -163,8 +172,7 @@ def _blank(languages: int) -> np.ndarray:
 def _mark(words: np.ndarray, bit: int, text: str) -> None:
     """Set a language's bit in the slots of all n-grams of a text."""
     folded, _ = _letters(_NOISE.sub(" ", text))
-    for n in SIZES:
-        h, _ = _grams(folded, n)
+    for h, _ in _all_grams(folded):
         for slot in _slots(h, len(words)):
             words[slot, bit // 64] |= np.uint64(1 << bit % 64)
 
