@@ -12,6 +12,10 @@ the entity, so the partitioning made once by ``repartition(entity)`` serves all
 rounds and none of them shuffles.  A run meets at most one partner per round: no
 group ever holds more than two rows.
 
+An entity's rows are reduced, map-side first, to one per snapshot time or start before any
+window sees them: an entity that holds a third of all rows has at most as many as there are
+times.  One job, which counts the rows of each entity, runs when the plan is made.
+
 Defined results: null is a payload value of its own; rows without entity or start
 are ignored; intervals of no length are never valid and vanish; repeated rows count
 once; of several rows of one entity in a snapshot the highest version counts, then
@@ -24,22 +28,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The calendar of snapshot times is broadcast up to this many rows and joined by shuffle beyond.
-CALENDAR_ROWS = 100_000
+DAY = 86_400_000_000
 #: Stands for "open" while intervals are compared; beyond any real timestamp in microseconds.
 OPEN = 2**62
 
 
-def coalesce_runs(units: DataFrame, payload: list[str]) -> DataFrame:
+def coalesce_runs(units: DataFrame, payload: list[str], longest: int | None = None) -> DataFrame:
     """Merge touching intervals of equal payload.
 
     ``units``: entity, ``lo_us``, ``hi_us`` (exclusive, OPEN when open) and the payload
-    columns.  Intervals of one entity must not overlap.
+    columns.  Intervals of one entity must not overlap.  ``longest``: at least the most
+    intervals of an entity; counted here, by a job, where it is not known.
     """
     spread = units.repartition("entity")
     numbered = spread.withColumn("lo", F.row_number().over(Window.partitionBy("entity").orderBy("lo_us")).cast("long") - 1)
     numbered = numbered.withColumn("hi", F.col("lo"))
-    longest = units.groupBy("entity").count().agg(F.max("count")).first()[0] or 0
+    if longest is None:
+        longest = _most(units)
     runs, rounds = numbered, max(0, (longest - 1).bit_length())
     for r in range(rounds):
         half, parent = F.shiftright("lo", r), F.shiftright("lo", r + 1)
@@ -57,11 +62,25 @@ def coalesce_runs(units: DataFrame, payload: list[str]) -> DataFrame:
     return runs.select("entity", *payload, "lo_us", "hi_us")
 
 
-def snapshot_units(snapshots: DataFrame, payload: list[str]) -> DataFrame:
-    """``snapshots``: entity, ``at_us``, ``version``, ``updated_us``, ``gone`` and payload -> one unit per valid row.
+def _most(rows: DataFrame) -> int:
+    """The most rows of an entity."""
+    return rows.groupBy("entity").count().agg(F.max("count")).first()[0] or 0
+
+
+def calendar(snapshots: DataFrame) -> DataFrame:
+    """Each snapshot time and the next one.
 
-    The calendar of snapshot times is one row per snapshot, not per entity.
+    The next time is looked for inside a day, where there is none in the first of the next
+    day with a snapshot: the only rows ordered as a whole are days.
     """
+    times = snapshots.filter("at_us is not null").select("at_us").distinct().withColumn("day", F.expr(f"cast(floor(at_us / {DAY}D) as bigint)"))
+    inside = times.withColumn("near", F.lead("at_us").over(Window.partitionBy("day").orderBy("at_us")))
+    days = times.groupBy("day").agg(F.min("at_us").alias("begins")).withColumn("far", F.lead("begins").over(Window.orderBy("day")))
+    return inside.join(days.select("day", "far"), "day").select("at_us", F.coalesce("near", "far", F.lit(OPEN)).alias("hi_us"))
+
+
+def snapshot_units(snapshots: DataFrame, payload: list[str]) -> DataFrame:
+    """``snapshots``: entity, ``at_us``, ``version``, ``updated_us``, ``gone`` and payload -> one unit per valid row."""
     order = F.struct("version", "updated_us", F.struct(*payload).alias("p"), "gone")
     best = (
         snapshots.filter("entity is not null and at_us is not null")
@@ -70,14 +89,7 @@ def snapshot_units(snapshots: DataFrame, payload: list[str]) -> DataFrame:
         .filter(~F.coalesce(F.col("b.gone"), F.lit(False)))
         .select("entity", "at_us", *[F.col(f"b.p.{c}").alias(c) for c in payload])
     )
-    times = F.sort_array(F.collect_list("at_us"))
-    count = snapshots.agg(F.count_distinct("at_us")).first()[0]
-    calendar = (
-        snapshots.filter("at_us is not null").select("at_us").distinct().agg(times.alias("t"))
-        .select(F.explode(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))).alias("b"))).alias("z"))
-        .select(F.col("z.a").alias("at_us"), F.coalesce(F.col("z.b"), F.lit(OPEN)).alias("hi_us"))
-    )
-    return best.join(F.broadcast(calendar) if count <= CALENDAR_ROWS else calendar, "at_us").select("entity", F.col("at_us").alias("lo_us"), "hi_us", *payload)
+    return best.join(calendar(snapshots), "at_us").select("entity", F.col("at_us").alias("lo_us"), "hi_us", *payload)
 
 
 def published_units(published: DataFrame, snapshots: DataFrame, payload: list[str]) -> DataFrame:
@@ -89,10 +101,10 @@ def published_units(published: DataFrame, snapshots: DataFrame, payload: list[st
         .select("entity", "start_us", "b.end_us", *[F.col(f"b.p.{c}").alias(c) for c in payload])
     )
     following = F.lead("start_us", 1, OPEN).over(Window.partitionBy("entity").orderBy("start_us"))
-    first = snapshots.agg(F.min("at_us")).first()[0]
+    first = F.coalesce(snapshots.agg(F.min("at_us")).scalar(), F.lit(OPEN))
     return (
         one.withColumn("next_us", following)
-        .select("entity", F.col("start_us").alias("lo_us"), F.least("end_us", "next_us", F.lit(OPEN if first is None else first)).alias("hi_us"), *payload)
+        .select("entity", F.col("start_us").alias("lo_us"), F.least("end_us", "next_us", first).alias("hi_us"), *payload)
         .filter("hi_us > lo_us")
     )
 
@@ -100,7 +112,9 @@ def published_units(published: DataFrame, snapshots: DataFrame, payload: list[st
 def full_history(published: DataFrame, snapshots: DataFrame, payload: list[str]) -> DataFrame:
     """All versions: entity, payload, ``start_at`` and ``end_at`` (null while open), with ``lo_us`` and ``hi_us``."""
     units = published_units(published, snapshots, payload).unionByName(snapshot_units(snapshots, payload))
-    runs = coalesce_runs(units, payload)
+    # Repeated rows count too here: a round too many changes nothing.
+    rows = published.select("entity").unionByName(snapshots.select("entity")).filter("entity is not null")
+    runs = coalesce_runs(units, payload, _most(rows))
     return runs.withColumns({
         "start_at": F.timestamp_micros("lo_us"),
         "end_at": F.when(F.col("hi_us") < OPEN, F.timestamp_micros(F.when(F.col("hi_us") < OPEN, F.col("hi_us")))),
