@@ -5,6 +5,7 @@ Conditional counts are ``count_if``: one pass, combined map-side, and null count
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -98,30 +99,20 @@ class MetricView:
         return out if limit is None else out.limit(limit)
 
     def sql(self, text: str) -> DataFrame:
-        """``SELECT dims, MEASURE(m) ... FROM view GROUP BY``: MEASURE is expanded to its aggregate before Spark parses it."""
-        import re
+        """A query in which ``MEASURE(m)`` is put in as its aggregate; Spark parses all of it.
 
-        names = re.findall(r"(?i)\bmeasure\s*\(\s*`?(\w+)`?\s*\)", text)
+        The view is registered, with its dimensions as columns, under the name behind FROM.
+        """
+        source = re.search(r"(?is)\bfrom\s+(`?\w+`?)", text)
+        if not source:
+            raise ValueError("expected SELECT ... FROM view")
         rows = self.source if self.filter is None else self.source.filter(self.filter)
         rows = rows.withColumns({d: (F.col(c) if isinstance(c, str) else c) for d, c in self.dimensions.items()})
-        # Each measure becomes a named struct-free aggregate by way of a grouped query.
-        m = re.fullmatch(r"(?is)\s*select\s+(?P<cols>.+?)\s+from\s+\w+(?:\s+where\s+(?P<where>.+?))?(?:\s+group\s+by\s+(?P<by>.+?))?(?:\s+order\s+by\s+(?P<order>.+?))?(?:\s+limit\s+(?P<limit>\d+))?\s*;?\s*", text)
-        if not m or not names:
-            raise ValueError("expected SELECT ... MEASURE(m) ... FROM view")
-        if m["where"]:
-            rows = rows.filter(F.expr(m["where"]))
-        dims = [] if not m["by"] or m["by"].strip().lower() == "all" else [x.strip().strip("`") for x in m["by"].split(",")]
-        if m["by"] and m["by"].strip().lower() == "all":
-            dims = [x.strip().strip("`") for x in re.split(r",(?![^()]*\))", m["cols"]) if "measure" not in x.lower()]
-        aliases = {}
-        for part in re.split(r",(?![^()]*\))", m["cols"]):
-            hit = re.fullmatch(r"(?is)\s*measure\s*\(\s*`?(\w+)`?\s*\)(?:\s+as\s+`?(\w+)`?)?\s*", part)
-            if hit:
-                aliases[hit[2] or hit[1]] = self.measures[hit[1]]
-        out = rows.groupBy(*dims).agg(*[c.alias(a) for a, c in aliases.items()])
-        if m["order"]:
-            out = out.orderBy(*[F.expr(x.strip().rsplit(None, 1)[0]).desc() if x.strip().lower().endswith(" desc") else F.expr(re.sub(r"(?i)\s+asc$", "", x.strip())).asc() for x in m["order"].split(",")])
-        return out.limit(int(m["limit"])) if m["limit"] else out
+        rows.createOrReplaceTempView(source[1].strip("`"))
+        # What the analyser makes of a measure over these rows, as SQL.
+        said = lambda m: rows.agg(self.measures[m[1]].alias("m"))._jdf.queryExecution().analyzed().aggregateExpressions().head().child().sql()
+        full = re.sub(r"(?i)\bmeasure\s*\(\s*`?(\w+)`?\s*\)", lambda m: f"({said(m)})", text)
+        return rows.sparkSession.sql(full.strip().rstrip(";"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

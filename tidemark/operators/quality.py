@@ -27,6 +27,13 @@ CASE_STATES = ("OPEN", "INVESTIGATING", "CLOSED")
 OUTCOMES = ("CONFIRMED_FRAUD", "LEGITIMATE", "UNDETERMINED")
 
 
+# The rules of an event, in the order in which a failed row names them.
+EVENT_RULES = (
+    "event_id_present", "transaction_id_present", "account_id_present", "merchant_id_present", "event_timestamp_present", "transaction_timestamp_present", "sequence_number_positive", "amount_positive",
+    "currency_code_valid", "event_type_valid", "channel_valid", "payment_method_valid", "transaction_status_valid", "country_code_valid", "payload_parsed", "kafka_lineage_present",
+)
+
+
 def filled(name: str) -> Column:
     return F.col(name).isNotNull() & (F.trim(name) != "")
 
@@ -69,10 +76,12 @@ def transaction_rules() -> Rules:
 
 
 def event_rules() -> Rules:
-    return {
-        **_ids("event_id"), **transaction_rules(), "transaction_timestamp_present": there("transaction_event_timestamp"), "sequence_number_positive": above("sequence_number", 0), "event_type_valid": among("event_type", EVENT_TYPES),
+    own = {
+        **_ids("event_id"), "transaction_timestamp_present": there("transaction_event_timestamp"), "sequence_number_positive": above("sequence_number", 0), "event_type_valid": among("event_type", EVENT_TYPES),
         "payload_parsed": F.col("parse_status") == "PARSED", "kafka_lineage_present": there("kafka_topic", "kafka_partition", "kafka_offset"),
     }
+    known = {**own, **transaction_rules()}
+    return {name: known[name] for name in EVENT_RULES}
 
 
 def customer_rules() -> Rules:

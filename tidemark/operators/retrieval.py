@@ -170,6 +170,59 @@ def cosine(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 MAX_QUERIES = 10_000
 
 
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = 5000, bucket: int = 8192, digits: int = 9) -> DataFrame:
+    """``query_id, doc_id, score, rank``: the ``k`` nearest other rows of each query, for any number of queries.
+
+    Both sides: id (a unique long), vec.  A task has one bucket of rows and one block of
+    queries, multiplies them as matrices, and returns its best ``k`` alone.  Null vectors and
+    those of no length have no neighbours.
+    """
+    ship(corpus.sparkSession)
+    square = F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
+    usable = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec")).filter("id is not null and vec is not null").filter(square > 0)
+    rows, asked = usable(corpus), usable(queries)
+    sizes = rows.agg(F.count(F.lit(1)).alias("n")).unionByName(asked.agg(F.count(F.lit(1)).alias("n"))).collect()
+    parts, blocks = (max(1, -(-r[0] // m)) for r, m in zip(sizes, (bucket, block), strict=True))
+    spread = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.select(spread(parts).alias("p"), every(blocks).alias("q"), F.col("id").alias("doc_id"), "vec")
+    right = asked.select(every(parts).alias("p"), spread(blocks).alias("q"), F.col("id").alias("query_id"), "vec")
+
+    def best(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        if d.empty or a.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        d, a = d.sort_values("doc_id"), a.sort_values("query_id")
+        unit = lambda vs: (lambda m: m / np.sqrt((m * m).sum(axis=1))[:, None])(np.stack(vs.to_list()))
+        ids, asks, wanted = d["doc_id"].to_numpy(), a["query_id"].to_numpy(), unit(a["vec"]).T
+        found = []
+        for low in range(0, len(ids), 1000):
+            some = ids[low : low + 1000]
+            score = np.round(unit(d["vec"].iloc[low : low + 1000]) @ wanted, digits)
+            same = np.minimum(np.searchsorted(asks, some), len(asks) - 1)
+            own = np.flatnonzero(asks[same] == some)
+            score[own, same[own]] = -np.inf
+            for _ in range(min(k, len(some))):
+                top = score.argmax(axis=0)  # the lowest row of a tie
+                s = score[top, np.arange(len(asks))]
+                held = s > -np.inf
+                found.append((asks[held], some[top[held]], s[held]))
+                score[top, np.arange(len(asks))] = -np.inf
+        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) for i, c in enumerate(("query_id", "doc_id", "score"))})
+
+    scored = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, "query_id long, doc_id long, score double")
+    return top_k(scored, k)
+
+
+def hashed_vectors(texts: DataFrame, size: int = 64) -> DataFrame:
+    """``id, vec`` of texts (id, text): counts of words, each added to one of ``size`` places by the hash of the word."""
+    counted = terms(texts, "id", "text")
+    place = F.pmod(F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int"), F.lit(size))
+    summed = counted.groupBy("id", place.alias("place")).agg(F.sum("tf").cast("double").alias("v"))
+    held = F.map_from_entries(F.collect_list(F.struct("place", "v")))
+    return summed.groupBy("id").agg(held.alias("m")).select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """``rank`` 1..k per query; ties fall to the lower document."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())

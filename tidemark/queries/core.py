@@ -192,7 +192,7 @@ def merge_change_only(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["customer_id", "risk_rating", "customer_status"]
     target = log.filter("record_version = 1 and not is_deleted").select(*cols, F.lit("t0").alias("updated_at"))
     source = cdc.scd1(log, "customer_id", "record_version", "is_deleted").select(*cols)
-    return merge.merge(target, source, ["customer_id"], only_changed=True, delete_missing=True, stamp={"updated_at": F.lit("t1")}, check=False)
+    return merge.merge(target, source, ["customer_id"], only_changed=True, delete_missing=True, stamp={"updated_at": F.lit("t1")})
 
 
 def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,7 +201,7 @@ def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["account_id", "account_status"]
     target = log.filter("record_version = 1").select(*cols, F.lit("c0").alias("created_at"), F.lit("u0").alias("updated_at"))
     source = log.filter("record_version = 2").select(*cols, F.lit("c1").alias("created_at"), F.lit("u1").alias("updated_at"))
-    return merge.merge(target, source, ["account_id"], keep=["created_at"], check=False)
+    return merge.merge(target, source, ["account_id"], keep=["created_at"])
 
 
 # Features, labels, splits, scores
@@ -458,8 +458,7 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vector(spark: SparkSession, sf: str, k: int) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    scored = retrieval.cosine(rows.filter("id % 20 = 0"), rows).withColumn("score", F.round("score", 9))
-    return retrieval.top_k(scored.filter("query_id != doc_id"), k)
+    return retrieval.cosine_top_k(rows.filter("id % 20 = 0"), rows, k)
 
 
 def retrieval_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,8 +477,15 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    """Two vector rankings of different depth fused by reciprocal ranks."""
-    return retrieval.fuse([_vector(spark, sf, 5), _vector(spark, sf, 2)], 3).select("query_id", "doc_id", "rank")
+    """Keyword and vector rankings of the same documents, fused by reciprocal ranks.
+
+    Vectors are hashed word counts.  Every twentieth document asks, against all others.
+    """
+    texts = table(spark, sf, "documents").filter("text is not null and doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    by_words = retrieval.bm25_top_k(texts.filter("id % 20 = 0"), texts, 10)
+    vectors = retrieval.hashed_vectors(texts)
+    by_vector = retrieval.cosine_top_k(vectors.filter("id % 20 = 0"), vectors, 10, digits=6)
+    return retrieval.fuse([by_words, by_vector], 3).select("query_id", "doc_id", "rank")
 
 
 # Agent runs

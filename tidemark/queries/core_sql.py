@@ -229,7 +229,13 @@ s AS (SELECT qt.id AS query_id, po.id AS doc_id, round(sum(ln(1 + (n - df + 0.5)
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3"""
     q["retrieval_topk"] = f"WITH {_VEC} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"
     q["retrieval_metrics"] = f"""WITH {_VEC}, h AS (SELECT query_id, min(rank) FILTER (ql = dl) AS k FROM r WHERE rank <= 3 GROUP BY 1) SELECT count(*) AS queries, round(avg(coalesce(k = 1, false)::INT), 9) AS hit_at_1, round(avg(coalesce(k <= 3, false)::INT), 9) AS recall_at_k, round(avg(coalesce(1.0::DOUBLE / k, 0)), 9) AS mrr, 0.0::DOUBLE AS empty_rate FROM h"""
-    q["hybrid_fusion"] = f"""WITH {_VEC}, f AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank FROM r WHERE rank <= 2), s AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM f GROUP BY ALL)
+    q["hybrid_fusion"] = f"""WITH po AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, {words.format('"text"')} AS term FROM documents WHERE "text" IS NOT NULL) GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM po GROUP BY 1), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+w AS (SELECT a.id AS query_id, po.id AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * po.tf * 2.2 / (po.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM po a JOIN po USING (term) JOIN df USING (term) JOIN dl ON dl.id = po.id, st WHERE a.id % 20 = 0 AND a.id <> po.id GROUP BY ALL),
+v AS (SELECT id, ('0x' || substr(md5(term), 1, 4))::INTEGER % 64 AS place, sum(tf)::DOUBLE AS x FROM po GROUP BY ALL), nrm AS (SELECT id, sqrt(sum(x * x)) AS len FROM v GROUP BY 1),
+c0 AS (SELECT a.id AS query_id, b.id AS doc_id, sum(a.x * b.x) AS dot FROM v a JOIN v b USING (place) WHERE a.id % 20 = 0 AND a.id <> b.id GROUP BY ALL),
+c1 AS (SELECT a.id AS query_id, b.id AS doc_id, round(coalesce(dot, 0) / (a.len * b.len), 6) AS score FROM nrm a JOIN nrm b ON a.id <> b.id AND a.id % 20 = 0 LEFT JOIN c0 ON c0.query_id = a.id AND c0.doc_id = b.id),
+r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w QUALIFY rank <= 10 UNION ALL SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c1 QUALIFY rank <= 10),
+s AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM r GROUP BY ALL)
 SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3"""
     q["agent_case_scores"] = f"WITH {_CASES} SELECT transaction_id, tool_selection, tool_efficiency, structure, safety, round(overall, 6) AS overall, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS case_pass FROM s3"
     q["agent_run_summary"] = f"""WITH {_CASES}, m AS (SELECT 'run-1' AS run_id, count(*) AS cases, avg((len(reasons) = 0)::INT) AS pr, avg(tool_selection) AS ts, avg(safety) AS sa FROM s3),
@@ -264,10 +270,14 @@ g AS (SELECT list_filter([CASE WHEN average_precision >= base_rate THEN NULL ELS
     q["cost_by_sku"] = f"""WITH {_USAGE}, {price}, j AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, us.sku, sum(q * price) AS cost FROM us JOIN pp ON pp.sku = us.sku AND s <= l_shipdate AND (e IS NULL OR l_shipdate < e) GROUP BY ALL)
 SELECT month, sku, CAST(cost AS DOUBLE) AS cost, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY cost DESC, sku) AS rank FROM j) WHERE rank <= 3"""
     q["price_overlap"] = f"WITH {_USAGE}, {price} SELECT us.sku, count(*) AS rows, {_n('price IS NULL')} AS unpriced, CAST(max(price) AS DOUBLE) AS highest FROM us LEFT JOIN pp ON pp.sku = us.sku AND s <= l_shipdate AND (e IS NULL OR l_shipdate < e) GROUP BY 1"
-    q["rag_context"] = f"""WITH k AS ({q['keyword_topk']}), j AS (SELECT query_id, sum(len('[SOURCE ' || k.doc_id || ']' || chr(10) || substring(d."text", 1, 40))) + 2 * (count(*) - 1) AS n FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY 1) SELECT query_id, CAST(n AS INTEGER) AS context_length, true AS valid, false AS with_foreign FROM j"""
+    q["rag_context"] = f"""WITH k AS ({q['keyword_topk']}),
+j AS (SELECT query_id, string_agg('[SOURCE ' || k.doc_id || ']' || chr(10) || d."text", chr(10) || chr(10) ORDER BY rank) AS context, list_sort(list(CAST(k.doc_id AS VARCHAR))) AS docs FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY 1),
+a AS (SELECT *, 'see [SOURCE ' || docs[1] || '] and [SOURCE ' || docs[-1] || ']' AS answer FROM j),
+c AS (SELECT *, list_distinct(regexp_extract_all(answer, '\\[SOURCE ([^\\]]+)\\]', 1)) AS c1, list_distinct(regexp_extract_all(answer || ' [SOURCE none]', '\\[SOURCE ([^\\]]+)\\]', 1)) AS c2, regexp_extract_all('no source', '\\[SOURCE ([^\\]]+)\\]', 1) AS c3 FROM a)
+SELECT query_id, CAST(length(context) AS INTEGER) AS context_length, md5(context) AS context_hash, len(c1) > 0 AND list_has_all(docs, c1) AS valid, len(c2) > 0 AND list_has_all(docs, c2) AS with_foreign, len(c3) > 0 AND list_has_all(docs, c3) AS without_any FROM c"""
     q["evidence_view"] = f"WITH {_TX}, f AS ({inner('customer_id', 'customer')}) SELECT tx.transaction_id, CAST(tx.amount AS DOUBLE) AS amount, customer_txn_count_1d, customer_txn_count_30d FROM tx LEFT JOIN f ON f.customer_id = tx.customer_id AND f.feature_timestamp = tx.event_timestamp"
     q["quarantine_reasons"] = f"WITH {_DQ} SELECT count(DISTINCT CASE WHEN len(failed) > 0 THEN transaction_id END) AS quarantined_transactions, count(DISTINCT CASE WHEN len(failed) > 0 THEN merchant_id END) AS quarantined_merchants, count(DISTINCT CASE WHEN len(failed) = 0 THEN merchant_id END) AS valid_merchants, CAST(max(len(failed)) AS INTEGER) AS most_failures FROM dq"
     q["response_sections"] = f"WITH {_CASES} SELECT t.title, count(*) AS sections, CAST(sum(CASE WHEN t.title = 'Summary' THEN len(tools) ELSE 0 END) AS BIGINT) AS items FROM s3 JOIN tl USING (transaction_id), (VALUES ('Summary'), ('Evidence')) t(title) GROUP BY 1"
-    q["batch_scoring"] = f"WITH {_SCORED} SELECT score, label FROM sc ORDER BY score DESC, label NULLS FIRST LIMIT 100"
+    q["score_page"] = f"WITH {_SCORED} SELECT score, label FROM sc ORDER BY score DESC, label NULLS FIRST LIMIT 100"
     q["last_seen"] = f"WITH {_TX}, {_EV}, a AS (SELECT merchant_id, strftime(max(event_timestamp), '%Y-%m-%d') AS last_paid FROM tx WHERE merchant_id IS NOT NULL GROUP BY 1), b AS (SELECT merchant_id, strftime(max(kafka_timestamp), '%Y-%m-%d') AS last_delivered FROM ev WHERE merchant_id IS NOT NULL GROUP BY 1) SELECT coalesce(a.merchant_id, b.merchant_id) AS merchant_id, last_paid, last_delivered FROM a FULL JOIN b ON a.merchant_id = b.merchant_id"
     return q

@@ -124,7 +124,7 @@ def fraud_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def transaction_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch scoring: the registered champion applied to every transaction; ``batch_scoring`` is a page of the top hundred by amount."""
+    """Batch scoring: the registered champion applied to every transaction."""
     rows = _model_rows(spark, sf)
     out = ["transaction_id", F.col("transaction_event_timestamp").alias("event_timestamp"), "fraud_probability", "predicted_fraud", "model_name", "model_version", "model_alias"]
     if rows.isEmpty():

@@ -109,17 +109,19 @@ def cost_by_sku(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rag_context(spark: SparkSession, sf: str) -> DataFrame:
-    """Context of each question from its passages, and whether answers cite only those."""
+    """Context of each question from its whole passages, and whether answers cite only those."""
     ranked = core._keyword(spark, sf, 3)
-    texts = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("text"))
-    made = retrieval.context(ranked, texts)
+    made = retrieval.context(ranked, table(spark, sf, "documents").select("doc_id", "text"))
     got = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("docs"))
     rows = made.join(got, "query_id").withColumn("answer", F.concat(F.lit("see [SOURCE "), F.element_at("docs", 1), F.lit("] and [SOURCE "), F.element_at("docs", -1), F.lit("]")))
-    return rows.select("query_id", F.length("context").alias("context_length"), retrieval.citations_valid(F.col("answer"), F.col("docs")).alias("valid"), retrieval.citations_valid(F.concat("answer", F.lit(" [SOURCE none]")), F.col("docs")).alias("with_foreign"))
+    return rows.select(
+        "query_id", F.length("context").alias("context_length"), F.md5("context").alias("context_hash"), retrieval.citations_valid(F.col("answer"), F.col("docs")).alias("valid"), retrieval.citations_valid(F.concat("answer", F.lit(" [SOURCE none]")), F.col("docs")).alias("with_foreign"),
+        retrieval.citations_valid(F.lit("no source"), F.col("docs")).alias("without_any"),
+    )
 
 
 def rag_passages(spark: SparkSession, sf: str) -> DataFrame:
-    """Context of each question with the whole text of its passages; ``rag_context`` measures a preview of 40 characters each."""
+    """Context of each question with the whole text of its passages; ``rag_context`` has its length and hash."""
     ranked = core._keyword(spark, sf, 3)
     made = retrieval.context(ranked, table(spark, sf, "documents").select("doc_id", "text"))
     return made.select("query_id", "context", F.length("context").alias("context_length"), F.sha2("context", 256).alias("context_hash"))
@@ -156,8 +158,8 @@ def response_sections(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(F.col("s.title").alias("title")).agg(F.count(F.lit(1)).alias("sections"), F.sum(F.size("s.items")).alias("items"))
 
 
-def batch_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of a table: the first hundred scored rows in a stable order."""
+def score_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of a table, a top-k report: the first hundred scored rows in a stable order."""
     return core._scored(spark, sf).orderBy(F.col("score").desc(), F.col("label").asc()).limit(100).select("score", "label")
 
 
@@ -169,5 +171,5 @@ def last_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (scoped_audit, operations_summary, source_readiness, warehouse_health, model_health, golden_cases, promotion_gates, measure_agents, cost_by_sku, rag_context, rag_passages, evidence_view, quarantine_reasons, price_overlap, response_sections, batch_scoring, last_seen)
+    named = (scoped_audit, operations_summary, source_readiness, warehouse_health, model_health, golden_cases, promotion_gates, measure_agents, cost_by_sku, rag_context, rag_passages, evidence_view, quarantine_reasons, price_overlap, response_sections, score_page, last_seen)
     return {f.__name__: f for f in named}

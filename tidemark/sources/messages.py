@@ -26,6 +26,8 @@ def to_records(envelopes: DataFrame, topic: str, key: str, arrival: str, partiti
     """Validated envelopes as records: key, value, partition by key hash, offsets in arrival order.
 
     Envelopes without key or payload are refused.  Offsets are contiguous per partition.
+    Records are numbered inside a minute of arrival, and the minutes before add their counts,
+    so numbering is as many tasks as there are minutes, however few partitions the topic has.
     """
     from pyspark.sql import Window
 
@@ -34,8 +36,13 @@ def to_records(envelopes: DataFrame, topic: str, key: str, arrival: str, partiti
     checked = envelopes.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("envelope without key or payload")).cast("boolean")))
     part = F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
     rows = checked.select(F.col(key).cast("binary").alias("key"), body.cast("binary").alias("value"), F.lit(topic).alias("topic"), part.alias("partition"), F.col(arrival).cast("timestamp").alias("timestamp"))
-    offset = F.row_number().over(Window.partitionBy("partition").orderBy("timestamp", "key", "value")) - 1
-    return rows.select("key", "value", "topic", "partition", offset.cast("long").alias("offset"), "timestamp", F.lit(0).alias("timestampType"))
+    minutes = rows.withColumn("__m", F.date_trunc("minute", "timestamp"))
+    before = F.sum("__n").over(Window.partitionBy("partition").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1))
+    starts = minutes.groupBy("partition", "__m").agg(F.count(F.lit(1)).alias("__n")).select(F.col("partition").alias("__p"), F.col("__m").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("partition", "__m").orderBy("timestamp", "key", "value")) - 1
+    numbered = minutes.withColumn("__i", inside)
+    both = numbered.join(starts, (numbered["partition"] == starts["__p"]) & numbered["__m"].eqNullSafe(starts["__s"]))
+    return both.select("key", "value", "topic", "partition", (F.col("__before") + F.col("__i")).cast("long").alias("offset"), "timestamp", F.lit(0).alias("timestampType"))
 
 
 def publish(records: DataFrame, path: str, limit: int | None = None) -> int:
