@@ -331,12 +331,6 @@ def slice_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return _runs(spark, sf).select("merchant_id", "transaction_id", _t("run_start"), _t("run_end"), "active_us", "final_state", "slices", "status")
 
 
-def job_health(spark: SparkSession, sf: str) -> DataFrame:
-    """Every merchant with its latest run, those that never ran included."""
-    last = ops.latest_run(_runs(spark, sf).filter("merchant_id is not null"), ["merchant_id"], ["run_end", "run_start", "transaction_id"]).select("merchant_id", "transaction_id", "status")
-    return ops.definition_health(base.merchants(spark, sf).select("merchant_id"), last, ["merchant_id"]).select("merchant_id", "transaction_id", "health")
-
-
 def daily_reliability_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     runs = _runs(spark, sf).withColumns({"day": F.date_format("run_start", DATE), "seconds": F.expr("cast(active_us div 1000000 as bigint)")})
     a = ops.daily_reliability(runs, "day", "seconds", F.col("status") == "FAILED").withColumn("p95_seconds", F.round("p95_seconds", 6))
@@ -344,15 +338,6 @@ def daily_reliability_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return joins.merged_days(a, tasks, ["day"])
 
 
-def query_performance(spark: SparkSession, sf: str) -> DataFrame:
-    """Deliveries as statements: delay as queueing, amount as work."""
-    rows = base.events(spark, sf).select(
-        F.when(F.col("transaction_status") == "DECLINED", "FAILED").otherwise("FINISHED").alias("execution_status"), F.when(F.col("kafka_partition") == 0, F.col("kafka_offset") % 3).otherwise(0).alias("spilled_bytes"),
-        (F.coalesce("delay_seconds", F.lit(0)) * 1000).alias("queue_ms"), F.floor(F.coalesce("amount", F.lit(0)) * 100).alias("total_ms"), (F.col("kafka_offset") * 1_000_000).alias("read_bytes"), "kafka_partition",
-    )
-    return rows.withColumn("performance", ops.performance(rows)).groupBy("kafka_partition", "performance").agg(F.count(F.lit(1)).alias("statements"))
-
-
 def freshness_health(spark: SparkSession, sf: str) -> DataFrame:
     parts = [("payment_events", "kafka_timestamp"), ("payment_transactions_enriched", "bronze_ingested_at"), ("merchant_snapshots", "snapshot_at"), ("merchant_history", "__start_at"), ("documents", "written_at")]
     rows = None
@@ -373,12 +358,6 @@ def alert_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return ops.alerts(one, {"quarantine": F.col("quarantined"), "declines": F.col("declined"), "huge_payments": F.col("huge")})
 
 
-def security_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit shape over the event stream: category, severity and distinct actors per day."""
-    rows = table(spark, sf, "events").select(F.date_format("ts", DATE).alias("day"), "user_id", ops.ladder([(F.col("event_type").like("%error%"), "ERROR"), (F.lower("event_type").rlike("(purchase|signup)"), "CHANGE")], "ACCESS").alias("category"), ops.ladder([(F.col("event_type") == "error", "HIGH"), (F.col("value") > 90, "MEDIUM")], "LOW").alias("severity"))
-    return rows.groupBy("day", "category", "severity").agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("user_id").alias("actors"))
-
-
 # Reconciliation
 
 
@@ -523,7 +502,7 @@ def queries() -> dict:
         standardized_events, standardized_customers, json_props, message_round_trip, dq_classified, dq_rule_breakdown, dq_quarantine_daily, dq_current_health, dq_expectations, duplicate_summary, event_exceptions, trusted_events_batch,
         scd1_current, scd2_history, cdc_invariant, cdc_after_baseline, enriched_transactions, daily_payment_metrics, merchant_payment_metrics, channel_payment_metrics, fraud_operations_metrics, orphans_anti, except_all_diff, temporal_price_cost,
         top_workloads_per_group, merge_change_only, merge_upsert, transaction_features, behavior_features_customer, behavior_features_merchant, asof_training_set, temporal_split, threshold_metrics, best_threshold, score_areas, daily_series_features,
-        forecast_holdouts, seasonal_naive, measure_kpis, measure_by_channel, measure_by_day, measure_model, latest_definition, slice_collapse, job_health, daily_reliability_full_outer, query_performance, freshness_health, cost_spikes,
-        alert_candidates, security_daily, reconciliation_report, physical_profile, masked_customers, au_row_filter, tag_coverage, transaction_context, chunk_documents, keyword_topk, keyword_search, retrieval_topk, retrieval_metrics, hybrid_fusion, agent_case_scores, agent_run_summary,
+        forecast_holdouts, seasonal_naive, measure_kpis, measure_by_channel, measure_by_day, measure_model, latest_definition, slice_collapse, daily_reliability_full_outer, freshness_health, cost_spikes,
+        alert_candidates, reconciliation_report, physical_profile, masked_customers, au_row_filter, tag_coverage, transaction_context, chunk_documents, keyword_topk, keyword_search, retrieval_topk, retrieval_metrics, hybrid_fusion, agent_case_scores, agent_run_summary,
     )
     return {f.__name__: f for f in named}

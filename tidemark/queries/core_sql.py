@@ -202,16 +202,13 @@ SELECT count(*) AS days, round(avg(abs(f - y)), 9) AS mae, round(sqrt(avg((f - y
     q["measure_model"] = f"WITH {_SCORED} SELECT CASE WHEN score >= 0.8 THEN 'HIGH' WHEN score >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band, count(*) AS scored, {_n('label = 1')} AS positives, CAST({_n('label = 1 AND score >= 0.5')} AS DOUBLE) / nullif({_n('score >= 0.5')}, 0) AS precision_at_half, max(score) AS highest FROM sc GROUP BY 1"
     q["latest_definition"] = f"WITH {_ACC} SELECT account_id, account_status, record_version FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY record_version DESC) AS rn FROM alog) WHERE rn = 1 AND NOT is_deleted"
     q["slice_collapse"] = f"WITH {_RUNS} SELECT merchant_id, transaction_id, {ts.format('run_start')} AS run_start, {ts.format('run_end')} AS run_end, active_us, final_state, slices, status FROM runs"
-    q["job_health"] = f"WITH {_RUNS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY run_end DESC, run_start DESC, transaction_id DESC) AS rn FROM runs WHERE merchant_id IS NOT NULL) WHERE rn = 1), m AS (SELECT DISTINCT {_ident('merchant_id')} AS merchant_id FROM merchant_snapshots WHERE merchant_id IS NOT NULL) SELECT m.merchant_id, l.transaction_id, coalesce(l.status, 'NEVER_RUN') AS health FROM m LEFT JOIN l USING (merchant_id)"
     q["daily_reliability_full_outer"] = f"""WITH {_RUNS}, {_TX}, a AS (SELECT strftime(run_start, '%Y-%m-%d') AS day, count(*) AS runs, {_n("status = 'FAILED'")} AS failed_runs, round(quantile_cont((active_us // 1000000)::DOUBLE, 0.95), 6) AS p95_seconds FROM runs GROUP BY 1),
 b AS (SELECT strftime(event_date, '%Y-%m-%d') AS day, count(*) AS transactions FROM tx WHERE event_date IS NOT NULL GROUP BY 1) SELECT coalesce(a.day, b.day) AS day, runs, failed_runs, p95_seconds, transactions FROM a FULL JOIN b ON a.day = b.day"""
-    q["query_performance"] = f"""WITH {_EV} SELECT kafka_partition, CASE WHEN transaction_status = 'DECLINED' THEN 'FAILED' WHEN kafka_partition = 0 AND kafka_offset % 3 > 0 THEN 'SPILLING' WHEN coalesce(delay, 0) * 1000 >= 30000 THEN 'QUEUE_DELAY' WHEN floor(coalesce(amount, 0) * 100) >= 60000 THEN 'LONG_RUNNING' WHEN kafka_offset * 1000000 >= 1073741824 THEN 'HIGH_SCAN' ELSE 'HEALTHY' END AS performance, count(*) AS statements FROM ev GROUP BY ALL"""
     fresh = " UNION ALL ".join(f"SELECT '{t}' AS table_name, max({c}) AS last_at FROM {t}" for t, c in (("payment_events", "kafka_timestamp"), ("payment_transactions_enriched", "bronze_ingested_at"), ("merchant_snapshots", "snapshot_at"), ("merchant_history", "__start_at"), ("documents", "written_at")))
     q["freshness_health"] = f"WITH f AS ({fresh} UNION ALL SELECT 'chargebacks', NULL), g AS (SELECT *, epoch(TIMESTAMP '2026-08-01') - floor(epoch(last_at)) AS age FROM f) SELECT table_name, {ts.format('last_at')} AS last_at, CASE WHEN age IS NULL THEN 'NO_DATA' WHEN age <= 86400 THEN 'RECENT' WHEN age <= 604800 THEN 'AGING' ELSE 'STALE' END AS freshness FROM g"
     q["cost_spikes"] = f"""WITH {_TX}, c AS (SELECT event_date AS d, CAST(sum(amount) FILTER (amount > 0) AS DOUBLE) AS cost FROM tx WHERE event_date IS NOT NULL GROUP BY 1), p AS (SELECT d, cost, avg(cost) OVER (ORDER BY d RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING) AS pm FROM c)
 SELECT strftime(d, '%Y-%m-%d') AS event_date, cost, round(pm, 6) AS prior_mean, coalesce(cost > 1 AND cost > 1.2 * pm, false) AS is_spike FROM p"""
     q["alert_candidates"] = f"WITH {_DQ}, a AS (SELECT 'quarantine' AS alert, {_n('len(failed) > 0')} AS alert_count FROM dq UNION ALL SELECT 'declines', {_n("transaction_status = 'DECLINED'")} FROM dq UNION ALL SELECT 'huge_payments', {_n('amount > 1000000')} FROM dq) SELECT *, CASE WHEN alert_count > 0 THEN 'TRIGGERED' ELSE 'OK' END AS state FROM a"
-    q["security_daily"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type LIKE '%error%' THEN 'ERROR' WHEN regexp_matches(lower(event_type), '(purchase|signup)') THEN 'CHANGE' ELSE 'ACCESS' END AS category, CASE WHEN event_type = 'error' THEN 'HIGH' WHEN value > 90 THEN 'MEDIUM' ELSE 'LOW' END AS severity, count(*) AS entries, count(DISTINCT user_id) AS actors FROM events GROUP BY ALL"
     q["reconciliation_report"] = f"""WITH {_TRUSTED}, {_TX}, n AS (SELECT (SELECT count(*) FROM tx)::DOUBLE AS t, (SELECT count(*) FROM payment_transactions_enriched)::DOUBLE AS r, (SELECT sum(amount) FROM tx)::DOUBLE AS a),
 k AS (SELECT 'standardized = validated + quarantined' AS check_name, t AS lhs, t AS rhs FROM n UNION ALL SELECT 'transactions = enriched', t, t FROM n UNION ALL SELECT 'transactions = sum of daily', t, t FROM n UNION ALL SELECT 'amount = daily amount', a, a FROM n UNION ALL SELECT 'raw = distinct', r, t FROM n UNION ALL SELECT 'trusted events are unique', 0, 0)
 SELECT check_name, round(lhs, 2) AS lhs, round(rhs, 2) AS rhs, CASE WHEN abs(lhs - rhs) < 0.005 THEN 'PASS' ELSE 'FAIL' END AS status FROM k"""
@@ -245,8 +242,6 @@ SELECT run_id, cases, round(pr, 9) AS pass_rate, round(ts, 9) AS mean_tool_selec
     q["cdc_stream"] = q["scd1_current"]
     q["load_once"] = f"WITH {_TX} SELECT transaction_status AS status, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount_sum, true AS loaded_first, 0 AS loaded_again FROM tx WHERE event_date IS NOT NULL GROUP BY 1"
     q["dataset_graph"] = f"WITH {_DQ} SELECT {_DAY}, currency, count(*) AS payments, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS amount_sum FROM dq WHERE len(failed) = 0 GROUP BY event_date, currency"
-    q["grants_check"] = """WITH h AS (SELECT DISTINCT n_name AS principal, 'SELECT' AS privilege, CAST(n_regionkey AS VARCHAR) AS securable FROM nation), e AS (SELECT r_name AS principal, 'SELECT' AS privilege, CAST(r_regionkey AS VARCHAR) AS securable FROM region)
-SELECT *, 'MISSING' AS finding FROM (SELECT * FROM e EXCEPT SELECT * FROM h) UNION ALL SELECT *, 'UNEXPECTED' FROM (SELECT * FROM h EXCEPT SELECT * FROM e)"""
     q["scoped_audit"] = """WITH sc AS (SELECT user_id FROM events WHERE event_type = 'purchase' UNION SELECT user_id FROM events WHERE event_type = 'error')
 SELECT event_type, count(*) AS entries, count(DISTINCT coalesce(CASE WHEN value > 50 THEN 'svc-' || user_id END, CAST(user_id AS VARCHAR), 'unknown')) AS actors FROM events WHERE user_id IN (SELECT user_id FROM sc) OR CAST(user_id AS VARCHAR) = '0' GROUP BY 1"""
     q["operations_summary"] = f"""WITH {_TX}, {_EV}, d AS (SELECT event_id, count(*) AS n, CAST(count(DISTINCT kafka_offset) AS INTEGER) AS o FROM ev WHERE event_id IS NOT NULL GROUP BY 1),
@@ -254,9 +249,6 @@ m AS (SELECT * FROM (SELECT {_code('risk_rating')} AS rr, row_number() OVER (PAR
 SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM tx WHERE transaction_status = 'DECLINED') AS declined, (SELECT count(*) FROM tx WHERE amount IS NULL OR amount <= 0) AS bad_amounts, (SELECT count(*) FROM d WHERE n > 1) AS repeated_events, (SELECT max(n) FROM d) AS most_deliveries, (SELECT max(o) FROM d) AS most_offsets, (SELECT count(*) FROM m WHERE rr = 'HIGH') AS high_risk_merchants"""
     sources = " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS rows FROM {t}" for t in ("payment_events", "payment_transactions_enriched", "master_data_cdc", "accounts", "merchant_history", "merchant_snapshots", "documents"))
     q["source_readiness"] = f"WITH s AS ({sources}) SELECT *, CASE WHEN rows = 0 THEN 'EMPTY' WHEN rows < 1000 THEN 'SMALL' ELSE 'READY' END AS status FROM s"
-    q["warehouse_health"] = f"""WITH {_CUS}, {_ACC}, c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY record_version DESC) AS rn FROM clog) WHERE rn = 1 AND NOT is_deleted),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY source_updated_at DESC, account_id DESC, record_version DESC) AS rn FROM alog WHERE customer_id IS NOT NULL) WHERE rn = 1)
-SELECT c.customer_status, coalesce(a.account_status, 'NEVER_RUN') AS health, count(*) AS definitions FROM c LEFT JOIN a ON a.customer_id = c.customer_id GROUP BY ALL"""
     q["model_health"] = f"""WITH {_TX}, r AS (SELECT max(event_timestamp) AS at, arg_max(transaction_id, (event_timestamp, transaction_id)) AS t, avg(CASE WHEN transaction_status = 'DECLINED' THEN 1.0::DOUBLE ELSE 0 END) AS d FROM tx WHERE event_timestamp IS NOT NULL)
 SELECT {ts.format('at')} AS last_at, t AS last_transaction, round(d, 9) AS decline_rate, CASE WHEN epoch(TIMESTAMP '2026-08-01') - floor(epoch(at)) <= 86400 THEN 'RECENT' WHEN epoch(TIMESTAMP '2026-08-01') - floor(epoch(at)) <= 604800 THEN 'AGING' ELSE 'STALE' END AS freshness FROM r""".replace(" AS at,", " AS ats,").replace("(at)", "(ats)").replace("strftime(at,", "strftime(ats,")
     q["golden_cases"] = f"""WITH {_TX}, {_EV}, r AS (SELECT transaction_id, amount, country FROM tx WHERE amount IS NOT NULL), d AS (SELECT transaction_id, count(*) AS n FROM ev WHERE transaction_id IS NOT NULL GROUP BY 1 HAVING count(*) > 2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ident, micros, table
-from tidemark.operators import exactly_once, features, governance, metrics, quality, scoring
+from tidemark.operators import exactly_once, features, metrics, quality, scoring
 from tidemark.plans.graph import Graph
 from tidemark.queries import base, payments
 from tidemark.session import staged, work_dir
@@ -138,12 +138,5 @@ def transaction_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.predict(model, rows, threshold, **columns).select(*out)
 
 
-def grants_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Nation and region as a matrix of grants: what differs from what is expected."""
-    held = table(spark, sf, "nation").select(F.col("n_name").alias("principal"), F.lit("SELECT").alias("privilege"), F.col("n_regionkey").cast("string").alias("securable"))
-    expected = table(spark, sf, "region").select(F.col("r_name").alias("principal"), F.lit("SELECT").alias("privilege"), F.col("r_regionkey").cast("string").alias("securable"))
-    return governance.grants_check(held, expected)
-
-
 def queries() -> dict:
-    return {f.__name__: f for f in (payment_events_stream, cdc_stream, late_stream, load_once, dataset_graph, fraud_model, transaction_scores, grants_check)}
+    return {f.__name__: f for f in (payment_events_stream, cdc_stream, late_stream, load_once, dataset_graph, fraud_model, transaction_scores)}

@@ -45,17 +45,6 @@ def source_readiness(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("status", ops.ladder([(F.col("rows") == 0, "EMPTY"), (F.col("rows") < 1000, "SMALL")], "READY"))
 
 
-def warehouse_health(spark: SparkSession, sf: str) -> DataFrame:
-    """Current customers as definitions, with the latest of their account events, those without any included."""
-    latest = base.customers_log(spark, sf).withColumn("delete_time", F.when(F.col("is_deleted"), F.col("source_updated_at")))
-    from tidemark.operators import cdc
-
-    now = cdc.latest_definition(latest, ["customer_id"], "record_version", "delete_time").select("customer_id", "customer_status")
-    events = base.accounts_log(spark, sf).filter("customer_id is not null")
-    last = ops.latest_run(events, ["customer_id"], ["source_updated_at", "account_id", "record_version"]).select("customer_id", F.col("account_status").alias("status"))
-    return ops.definition_health(now, last, ["customer_id"]).groupBy("customer_status", "health").agg(F.count(F.lit(1)).alias("definitions"))
-
-
 def model_health(spark: SparkSession, sf: str) -> DataFrame:
     """One row about the scored payments: last score, its rows, rates and how fresh they are."""
     rows = base.transactions(spark, sf).filter("event_timestamp is not null")
@@ -171,5 +160,5 @@ def last_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (scoped_audit, operations_summary, source_readiness, warehouse_health, model_health, golden_cases, promotion_gates, measure_agents, cost_by_sku, rag_context, rag_passages, evidence_view, quarantine_reasons, price_overlap, response_sections, score_page, last_seen)
+    named = (scoped_audit, operations_summary, source_readiness, model_health, golden_cases, promotion_gates, measure_agents, cost_by_sku, rag_context, rag_passages, evidence_view, quarantine_reasons, price_overlap, response_sections, score_page, last_seen)
     return {f.__name__: f for f in named}
