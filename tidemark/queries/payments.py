@@ -257,7 +257,7 @@ def p7_bitemporal(spark: SparkSession, sf: str) -> DataFrame:
     Known time is when the feed delivered a change, valid time when the change took effect;
     of versions with one time of effect the highest counts.
     """
-    valid = lambda c: F.least(micros(c), F.lit(2**62 // _TIES)) * _TIES
+    valid = lambda c: F.least(micros(c), F.lit((2**63 - 1) // _TIES - 1)) * _TIES
     version = F.least(F.greatest(F.col("record_version").cast("long"), F.lit(0)), F.lit(_TIES - 1))
     versions = table(spark, sf, "master_data_cdc").select(ident("customer_id").alias("entity"), micros("ingested_at").alias("known_us"), (valid("source_updated_at") + version).alias("key"), code("risk_rating").alias("value"), F.coalesce("is_deleted", F.lit(False)).alias("deleted"))
     loaded = micros("bronze_ingested_at")
