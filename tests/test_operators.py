@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.operators import cdc, evaluation, features, forecast, governance, joins, merge, metrics, ops, quality, reconcile, retrieval, scoring, standardize
+from tidemark.operators import late, cdc, evaluation, features, forecast, governance, joins, merge, metrics, ops, quality, reconcile, retrieval, scoring, standardize
 from tidemark.operators import events as trust
 from tidemark.plans.graph import Graph
 from tidemark.sources import files, messages, schemas
@@ -44,6 +44,34 @@ def test_change_feed_any_permutation_and_split(spark, tmp_path_factory, rows, cu
     assert feed.history().count() == 4
 
 
+def test_change_feed_compacts(spark, tmp_path):
+    whole, cut = (flows.ChangeFeed(spark, str(tmp_path / n), "k", "v", "gone", "at", compact=c) for n, c in (("whole", 100), ("cut", 2)))
+    for i in range(7):
+        rows = versions(spark, [(f"c{j}", i + 1, i == 5 and j == 0, f"{i}-{j}") for j in range(3)] + [("c0", 1, False, "0-0")])
+        for feed in (whole, cut):
+            feed.step(rows, i)
+    cut.step(rows, 6)  # delivered again
+    same = lambda df: sorted(map(str, df.collect()))
+    assert same(cut.current()) == same(whole.current()) and same(cut.history()) == same(whole.history())
+    assert {f.split("/")[-2] for f in cut.log().inputFiles()} == {"base=00000005", "batch=00000006"}
+
+
+def test_late_aggregates_compact_and_expire(spark, tmp_path):
+    h = late.HOUR
+    whole, cut = flows.LateAggregates(spark, str(tmp_path / "w"), compact=100), flows.LateAggregates(spark, str(tmp_path / "c"), compact=2, slack_us=2 * h)
+    batch = lambda rows: spark.createDataFrame(rows, "event_us long, arrival_us long, amount double").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    for i in range(9):
+        rows = batch([(i * 6 * h, i * 6 * h + 1, 1.0), (i * 6 * h - 3 * h, i * 6 * h + 2, 2.0), (i * 6 * h - 20 * h, i * 6 * h + 3, 50.0)])
+        for held in (whole, cut):
+            held.step(rows, i)
+            held.step(rows, i)  # delivered again
+    net = lambda held: sorted(map(tuple, held.log().groupBy("period").agg(F.sum(F.expr("mult * n")), F.sum(F.expr("mult * amount")).cast("double")).collect()))
+    assert net(cut) == net(whole) and len(net(cut)) == 18
+    assert cut.state().count() < whole.state().count() == 18
+    with pytest.raises(Exception, match="expired"):
+        cut.step(batch([(0, h, 1.0)]), 9)
+
+
 def test_seed_once(spark, tmp_path):
     feed = flows.ChangeFeed(spark, str(tmp_path / "f"), "k", "v", "gone", "at")
     feed.seed(versions(spark, [("a", 1, False, "seed")]))
