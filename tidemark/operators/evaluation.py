@@ -49,6 +49,11 @@ def no_match(answer: Column, patterns: Sequence[str]) -> Column:
     return (~hit).cast("double")
 
 
+def human_review(answer: Column, needed: Column) -> Column:
+    """1 where a decision that needs a person says so, or none is needed."""
+    return (~needed | answer.rlike(r"(?i)\bhuman review\b")).cast("double")
+
+
 def sections(answer: Column) -> Column:
     """Headings of level two and the bullet lines under each, as an array of structs."""
     blocks = F.filter(F.split(F.concat(F.lit("\n"), answer), r"\n##\s+"), lambda b: F.trim(b) != "")
@@ -73,8 +78,9 @@ def case_gates(df: DataFrame, least: Mapping[str, float]) -> DataFrame:
 
 
 def run_summary(cases: DataFrame, run: str, scores: Sequence[str], least: Mapping[str, float]) -> DataFrame:
-    """Means per run and the gates over them."""
-    out = cases.groupBy(run).agg(F.count(F.lit(1)).alias("cases"), F.avg(F.col("case_pass").cast("double")).alias("pass_rate"), *[F.avg(c).alias(f"mean_{c}") for c in scores])
+    """Means per run and the gates over them.  Means have nine digits: the order of summation decides no gate."""
+    mean = lambda c: F.round(F.avg(c), 9)
+    out = cases.groupBy(run).agg(F.count(F.lit(1)).alias("cases"), mean(F.col("case_pass").cast("double")).alias("pass_rate"), *[mean(c).alias(f"mean_{c}") for c in scores])
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(c) >= v, F.lit(False)), F.lit(c)) for c, v in least.items()]))
     return out.withColumn("failed_gates", failed).withColumn("overall_pass", F.size("failed_gates") == 0)
 
