@@ -466,3 +466,60 @@ def test_work_folders_are_there_and_new(spark):
     one, two = work_dir(spark, "t"), work_dir(spark, "t")
     path = spark._jvm.org.apache.hadoop.fs.Path(one)
     assert one != two and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+# Selection of models and forecasts
+
+
+def test_forecast_selection_prefers_what_did_better():
+    from datetime import date
+
+    days = [date(2026, 1, 1) + timedelta(days=i) for i in range(60)]
+    weekly = [(d, 100.0 + 10 * d.weekday()) for d in days]
+    out = forecast.selection(weekly, 7)
+    assert len(out) == 7 and [d for d, *_ in out] == days[-7:] and out[0][3] == "seasonal_naive" and all(abs(y - f) < 1e-9 for _, y, f, _, _ in out)
+    growing = [(d, 50.0 + 5 * i) for i, d in enumerate(days)]
+    out = forecast.selection(growing, 7)
+    assert out[0][3] == "line" and all(abs(y - f) < 12 for _, y, f, _, _ in out)
+    assert {r[3] for r in forecast.selection(growing[:24], 7)} == {"seasonal_naive"}  # too few days to fit
+    with pytest.raises(ValueError):
+        forecast.fit_line([1.0] * 20, [0] * 20)
+
+
+def test_promotion_checks_name_what_fails(spark):
+    rows = [("p", 0.5, 0.1, 0.6, 0.3), ("", 0.05, 0.1, 0.4, 0.0), ("p", float("nan"), 0.1, None, None)]
+    df = spark.createDataFrame(rows, "path string, average_precision double, base_rate double, recall double, f2 double")
+    got = [r.failed_gates for r in scoring.gates(df, scoring.promotion_checks()).collect()]
+    assert got[0] == [] and got[1] == ["model_stored", "average_precision_beats_base_rate", "minimum_recall", "f2_positive"]
+    assert got[2][0] == "average_precision_finite" and {"recall_finite", "minimum_recall", "f2_positive"} <= set(got[2])
+
+
+def test_measures_are_parsed_by_spark(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 0), ("b", 1)], "g string, hit int")
+    view = metrics.MetricView(df, {"g": "g"}, {"rate": metrics.ratio(F.sum("hit"), F.count(F.lit(1))), "n": F.count_distinct("hit")})
+    got = view.sql("WITH z AS (SELECT upper(g) AS named, MEASURE(rate) AS r, measure(n) + 1 AS n FROM v GROUP BY upper(g) HAVING MEASURE(rate) > 0) SELECT named, r, n FROM z ORDER BY named").collect()
+    assert [tuple(r) for r in got] == [("A", 0.5, 3), ("B", 1.0, 2)]
+    with pytest.raises(KeyError):
+        view.sql("SELECT MEASURE(nope) FROM v")
+
+
+def test_nearest_rows_in_blocks_equal_brute_force(spark):
+    rnd = random.Random(11)
+    vecs = {i: [float(rnd.randrange(-3, 4)) for _ in range(5)] for i in range(90)}
+    vecs[7], vecs[8] = [0.0] * 5, vecs[9]
+    df = spark.createDataFrame(list(vecs.items()) + [(100, None)], "id long, vec array<double>")
+    got = sorted(map(tuple, retrieval.cosine_top_k(df.filter("id % 4 = 0 or id = 7"), df, 3, block=5, bucket=20).select("query_id", "doc_id", "rank").collect()))
+    size = {i: sum(x * x for x in v) ** 0.5 for i, v in vecs.items()}
+    live = [i for i in vecs if size[i]]
+    want = []
+    for q in [i for i in live if i % 4 == 0]:
+        best = sorted((-round(sum(a * b for a, b in zip(vecs[q], vecs[d], strict=True)) / (size[q] * size[d]), 9), d) for d in live if d != q)[:3]
+        want += [(q, d, n + 1) for n, (_, d) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_offsets_of_one_busy_partition(spark):
+    env = spark.range(5000).select(F.lit("k").alias("k"), F.struct("id").alias("payload"), F.timestamp_seconds(F.col("id") % 400).alias("at"))
+    out = messages.to_records(env, "topic", "k", "at", partitions=3)
+    rows = sorted((r.offset, r.timestamp) for r in out.collect())
+    assert [o for o, _ in rows] == list(range(5000)) and [t for _, t in rows] == sorted(t for _, t in rows)

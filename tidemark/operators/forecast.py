@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +76,55 @@ def recursive(history: Sequence[float], days: int, step: Callable[[list[float]],
 def choose(candidates: dict[str, tuple[float, float]]) -> str:
     """The method with the least (MAE, RMSE); the baseline may win."""
     return min(candidates, key=lambda k: (*candidates[k], k))
+
+
+LAGS, LONG_LAG, LONG_FROM, LEAST = (1, 2, 3, 7), 14, 35, 21
+
+
+def _row(values: Sequence[float], weekday: int, lags: Sequence[int]) -> list[float]:
+    """Features of the day that follows ``values``, of which it sees nothing later."""
+    angle = weekday * 2 * math.pi / 7
+    week = list(values[-7:])
+    return [1.0, math.sin(angle), math.cos(angle), float(weekday >= 5), *[values[-k] for k in lags], sum(week) / len(week), sum(values[-3:]) / 3]
+
+
+def fit_line(values: Sequence[float], weekdays: Sequence[int], ridge: float = 1e-3) -> Callable[[list[float], int], float]:
+    """A ridge regression over lags, rolling means and the weekday; a lag of two weeks where there are LONG_FROM days."""
+    if len(values) < LEAST:
+        raise ValueError(f"{len(values)} days are too few: {LEAST} are needed")
+    lags = (*LAGS, LONG_LAG) if len(values) >= LONG_FROM else LAGS
+    first = max(lags)
+    x = np.array([_row(values[:i], weekdays[i], lags) for i in range(first, len(values))])
+    y = np.array(values[first:])
+    size = np.abs(x).max(axis=0)
+    size[size == 0] = 1.0
+    scaled = x / size
+    weights = np.linalg.solve(scaled.T @ scaled + ridge * np.diag([0.0] + [1.0] * (x.shape[1] - 1)), scaled.T @ y) / size
+    return lambda held, weekday: float(np.dot(weights, _row(held, weekday, lags)))
+
+
+def selection(series: Sequence[tuple], asked: int) -> list[tuple]:
+    """``(day, actual, forecast, method, validation MAE)`` of the last days, by the method that did better on those before.
+
+    The candidates are the fitted line, forecast recursively, and the value a week ago, which
+    may win.  The winner is fitted again on all days before the last ones.
+    """
+    days, values = [d for d, _ in series], [float(y) for _, y in series]
+    weekdays = [d.weekday() for d in days]
+    h = horizons(len(values), asked)
+
+    def ahead(method: str, upto: int) -> list[float]:
+        if method == "seasonal_naive":
+            return recursive(values[:upto], h, lambda held: held[-7])
+        line = fit_line(values[:upto], weekdays)
+        return recursive(values[:upto], h, lambda held: line(held, weekdays[len(held)]))
+
+    start = len(values) - 2 * h
+    methods = ["seasonal_naive"] + (["line"] if start >= LEAST else [])
+    scores = {}
+    for m in methods:
+        off = [abs(a - b) for a, b in zip(ahead(m, start), values[start : start + h], strict=True)]
+        scores[m] = (sum(off) / h, math.sqrt(sum(e * e for e in off) / h))
+    best = choose(scores)
+    last = len(values) - h
+    return [(d, y, f, best, scores[best][0]) for d, y, f in zip(days[last:], values[last:], ahead(best, last), strict=True)]

@@ -83,8 +83,8 @@ def best_threshold(metrics: DataFrame, start: float = 0.50) -> DataFrame:
     return metrics.orderBy(*rank).limit(1)
 
 
-def fit_candidates(train: DataFrame, features: Sequence[str], label: str):
-    """Scaled logistic regression and gradient boosting, both weighted for class balance."""
+def fit_candidates(train: DataFrame, features: Sequence[str], label: str, names: Sequence[str] = ("logistic_regression", "gradient_boosting")):
+    """Scaled logistic regression and gradient boosting, both weighted for class balance; or those of ``names``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -99,7 +99,7 @@ def fit_candidates(train: DataFrame, features: Sequence[str], label: str):
         "logistic_regression": [assemble, scale, LogisticRegression(featuresCol="__z", labelCol=label, weightCol="__w", maxIter=50)],
         "gradient_boosting": [assemble, GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=10, maxDepth=4, seed=7)],
     }
-    return {name: _stored(Pipeline(stages=stages).fit(weighted), work_dir(train.sparkSession, name)) for name, stages in made.items()}
+    return {name: _stored(Pipeline(stages=stages).fit(weighted), work_dir(train.sparkSession, name)) for name, stages in made.items() if name in names}
 
 
 def _stored(model, path: str):
@@ -125,12 +125,13 @@ class ModelVersion:
     path: str
     metrics: str
     alias: str | None = None
+    event: str = "REGISTERED"
 
 
 class Registry:
     """Model versions and their aliases as an append-only table; the last row of a version stands."""
 
-    SCHEMA = "name string, version int, path string, metrics string, alias string, step long"
+    SCHEMA = "name string, version int, path string, metrics string, alias string, event string, step long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self._step = spark, path, 0
@@ -153,6 +154,10 @@ class Registry:
     def current(self) -> DataFrame:
         return self.rows().groupBy("name", "version").agg(F.max_by(F.struct("path", "metrics", "alias"), "step").alias("r")).select("name", "version", "r.*")
 
+    def audit(self) -> DataFrame:
+        """What happened to each version, in order; nothing is ever rewritten."""
+        return self.rows().select("step", "name", "version", "event", "alias")
+
     def register(self, name: str, path: str, metrics: Mapping[str, float]) -> int:
         last = self.current().filter(F.col("name") == name).agg(F.max("version")).first()[0] if self.exists() else None
         version = (last or 0) + 1
@@ -162,12 +167,21 @@ class Registry:
     def promote(self, name: str, version: int) -> None:
         """Candidate becomes Champion, the old Champion PreviousChampion, in one append."""
         held = {r["version"]: r for r in self.current().filter(F.col("name") == name).collect()}
-        rows = [ModelVersion(name, version, held[version]["path"], held[version]["metrics"], "Champion")]
-        rows += [ModelVersion(name, v, r["path"], r["metrics"], "PreviousChampion") for v, r in held.items() if r["alias"] == "Champion" and v != version]
-        rows += [ModelVersion(name, v, r["path"], r["metrics"], None) for v, r in held.items() if r["alias"] == "PreviousChampion" and v != version]
+        rows = [ModelVersion(name, version, held[version]["path"], held[version]["metrics"], "Champion", "PROMOTED")]
+        rows += [ModelVersion(name, v, r["path"], r["metrics"], "PreviousChampion", "REPLACED") for v, r in held.items() if r["alias"] == "Champion" and v != version]
+        rows += [ModelVersion(name, v, r["path"], r["metrics"], None, "RETIRED") for v, r in held.items() if r["alias"] == "PreviousChampion" and v != version]
         self._append(*rows)
 
 
+def promotion_checks(least_recall: float = 0.50) -> dict[str, Column]:
+    """What a model must show before it is promoted, over a row of its path, its metrics on unseen rows and the base rate."""
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return {
+        "model_stored": F.length("path") > 0, "average_precision_finite": number("average_precision"), "average_precision_beats_base_rate": F.col("average_precision") >= F.col("base_rate"),
+        "recall_finite": number("recall"), "minimum_recall": F.col("recall") >= least_recall, "f2_positive": number("f2") & (F.col("f2") > 0),
+    }
+
+
 def champion(registry: Registry, name: str) -> tuple:
     """The stored champion of a name: its model, its threshold, and its version columns for ``predict``."""
     from pyspark.ml import PipelineModel

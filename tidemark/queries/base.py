@@ -64,9 +64,9 @@ def fraud_cases(tx: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("case-"), F.lpad(F.col("n").cast("string"), 8, "0")).alias("fraud_case_id"), "transaction_id", status.alias("fraud_case_status"), outcome.alias("fraud_outcome"))
 
 
-def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    """Transactions with current account, its customer, the merchant and the fraud case."""
-    tx = transactions(spark, sf)
+def enriched(spark: SparkSession, sf: str, tx: DataFrame | None = None) -> DataFrame:
+    """Transactions with current account, its customer, the merchant and the fraud case; ``tx`` where they are stored already."""
+    tx = transactions(spark, sf) if tx is None else tx
     accounts = cdc.scd1(accounts_log(spark, sf), "account_id", "record_version", "is_deleted").select("account_id", F.col("customer_id").alias("account_customer"), "account_type", "account_status")
     customers = cdc.scd1(customers_log(spark, sf), "customer_id", "record_version", "is_deleted").select("customer_id", F.col("risk_rating").alias("customer_risk_rating"), "kyc_status", "customer_status")
     facts = tx.drop("customer_id", "stored_customer_rating", "stored_merchant_rating")

@@ -135,6 +135,14 @@ def registry_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
     return held.current().select("name", "version", "alias", F.get_json_object("metrics", "$.average_precision").cast("double").alias("average_precision"))
 
 
+def registry_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every step of two versions, the second replacing the first."""
+    held = scoring.Registry(spark, work_dir(spark, "registry"))
+    for i in range(2):
+        held.promote("fraud", held.register("fraud", f"path-{i}", {"recall": 0.5}))
+    return held.audit()
+
+
 # Retrieval
 
 
@@ -223,5 +231,5 @@ def agent_run_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (standardized_transactions, standardized_merchants, csv_load, csv_lineage, dq_events, dq_entities, expect_actions, cdc_tombstones, cdc_seeded, stream_static_baseline, registry_lifecycle, retrieval_gates, frozen_replay, rag_gates, agent_evaluation, agent_run_gates)
+    named = (standardized_transactions, standardized_merchants, csv_load, csv_lineage, dq_events, dq_entities, expect_actions, cdc_tombstones, cdc_seeded, stream_static_baseline, registry_lifecycle, registry_audit, retrieval_gates, frozen_replay, rag_gates, agent_evaluation, agent_run_gates)
     return {f.__name__: f for f in named}

@@ -56,6 +56,7 @@ SELECT CASE WHEN ok THEN 'PARSED' ELSE 'INVALID_JSON' END AS parse_status, array
     q["cdc_seeded"] = core["scd1_current"]
     q["stream_static_baseline"] = f"SELECT record_version, count(*) AS changes, count(*) FILTER (coalesce(is_deleted, false)) AS deletes FROM accounts a WHERE {_ident('account_id')} IS NOT NULL AND record_version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM accounts b WHERE nullif(lower(trim(b.account_id)), '') = nullif(lower(trim(a.account_id)), '') AND b.record_version = 1 AND a.record_version <= 1) GROUP BY 1"
     q["registry_lifecycle"] = "SELECT 'fraud' AS name, CAST(v AS INTEGER) AS version, CASE v WHEN 3 THEN 'Champion' WHEN 2 THEN 'PreviousChampion' WHEN 4 THEN 'Candidate' END AS alias, CASE v WHEN 4 THEN 0.9 ELSE 0.5 + (v - 1) / 10 END::DOUBLE AS average_precision FROM range(1, 5) r(v)"
+    q["registry_audit"] = "SELECT CAST(s AS BIGINT) AS step, 'fraud' AS name, CAST(v AS INTEGER) AS version, e AS event, a AS alias FROM (VALUES (1, 1, 'REGISTERED', 'Candidate'), (2, 1, 'PROMOTED', 'Champion'), (3, 2, 'REGISTERED', 'Candidate'), (4, 2, 'PROMOTED', 'Champion'), (4, 1, 'REPLACED', 'PreviousChampion')) t(s, v, e, a)"
     found = f"m AS ({core['retrieval_metrics']})"
     checks = {"hit_at_1": "hit_at_1 >= 0.6", "recall_at_3": "recall_at_k >= 0.8", "mean_reciprocal_rank": "mrr >= 0.65", "empty_retrieval_rate": "empty_rate <= 0"}
     q["retrieval_gates"] = f"WITH {found}, f AS (SELECT queries, {_failed(checks)} AS f FROM m) SELECT queries, array_to_string(f, ',') AS failed_gates, len(f) = 0 AS passed FROM f"

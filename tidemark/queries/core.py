@@ -9,6 +9,7 @@ from tidemark.functions import as_ts, ident, micros, table
 from tidemark.operators import cdc, evaluation, features, forecast, governance, joins, merge, metrics, ops, quality, reconcile, retrieval, scoring, standardize
 from tidemark.operators import events as trust
 from tidemark.queries import base
+from tidemark.session import staged
 from tidemark.sources import messages
 
 STAMP, DATE = "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd"
@@ -225,7 +226,9 @@ def behavior_features_merchant(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asof_training_set(spark: SparkSession, sf: str) -> DataFrame:
-    tx, rich = base.transactions(spark, sf), base.enriched(spark, sf)
+    # Stored once: labels, own features and the behaviour of both entities read them.
+    tx = staged(base.transactions(spark, sf), "transactions")
+    rich = base.enriched(spark, sf, tx)
     labels = features.label_transactions(rich.select("transaction_id", "customer_id", "merchant_id", "event_timestamp", "fraud_outcome"))
     out = features.training_set(labels, features.transaction_features(tx), features.behaviour(tx, "customer_id", "customer"), features.behaviour(tx, "merchant_id", "merchant"))
     return out.select("transaction_id", "is_confirmed_fraud", "amount", "hour_of_day", "customer_txn_count_7d", "customer_amount_sum_7d", "merchant_txn_count_30d", "merchant_decline_rate_30d")

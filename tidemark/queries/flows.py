@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import ident, micros, table
-from tidemark.operators import exactly_once, features, metrics, quality, scoring
+from tidemark.operators import exactly_once, features, forecast, metrics, quality, scoring
 from tidemark.plans.graph import Graph
 from tidemark.queries import base, payments
 from tidemark.session import staged, work_dir
@@ -103,7 +103,7 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _best_model(rows: DataFrame) -> tuple:
-    """Both candidates fitted on the earliest part; name, model, threshold and average precision of the better one on the next."""
+    """Both candidates fitted on the earliest part, chosen with their threshold on the next; the better one is fitted again on both parts."""
     parts = {s: rows.filter(F.col("split") == s) for s in ("train", "validation")}
     fitted = scoring.fit_candidates(parts["train"], FEATURES, "label")
     best, best_key = None, None
@@ -112,17 +112,37 @@ def _best_model(rows: DataFrame) -> tuple:
         ap = scoring.areas(scoring.curve(scored, "fraud_probability", "label")).first()["average_precision"] or 0.0
         cut = scoring.best_threshold(scoring.at_thresholds(scored, "fraud_probability", "label", scoring.THRESHOLDS)).first()
         if best_key is None or (ap, cut["f2"]) > best_key:
-            best, best_key = (name, model, cut["threshold"], ap), (ap, cut["f2"])
-    return best
+            best, best_key = (name, cut["threshold"], ap), (ap, cut["f2"])
+    name, threshold, ap = best
+    return name, scoring.fit_candidates(rows.filter("split in ('train', 'validation')"), FEATURES, "label", [name])[name], threshold, ap
 
 
 def fraud_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit both candidates on the earliest part, choose on the next, score the last."""
+    """Choose on unseen rows, fit again, and score the last part once."""
     rows = _model_rows(spark, sf)
     name, model, threshold, _ = _best_model(rows)
     return scoring.predict(model, rows.filter("split = 'test'"), threshold, model_name=name, model_version="1").select("transaction_id", "label", "fraud_probability", "predicted_fraud", "model_name", "model_version")
 
 
+def model_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen model on the last part against the gates of a promotion."""
+    scored = fraud_model(spark, sf)
+    threshold = 0.0  # decisions are made already
+    at = scoring.at_thresholds(scored.withColumn("decided", F.col("predicted_fraud").cast("double") - 0.5), "decided", "label", [threshold]).select("recall", "f2")
+    ap = scoring.areas(scoring.curve(scored, "fraud_probability", "label")).select("average_precision")
+    rate = scored.agg(F.avg("label").alias("base_rate"), F.max("model_name").alias("path"))
+    checked = scoring.gates(at.join(ap).join(rate), scoring.promotion_checks())  # one row each
+    return checked.select("path", "average_precision", "base_rate", "recall", "f2", F.array_join("failed_gates", ",").alias("failed_gates"), "passed")
+
+
+def forecast_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily payments ahead: a fitted line over lags and calendar, forecast day by day, against last week's value; the better one on unseen days tells the last ones."""
+    from tidemark.queries import core
+
+    series = [(r["d"], r["y"]) for r in core._series(spark, sf).orderBy("d").collect()]  # one row per day
+    return spark.createDataFrame(forecast.selection(series, 7), "d date, y double, forecast double, method string, validation_mae double")
+
+
 def transaction_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Batch scoring: the registered champion applied to every transaction."""
     rows = _model_rows(spark, sf)
@@ -130,7 +150,7 @@ def transaction_scores(spark: SparkSession, sf: str) -> DataFrame:
     if rows.isEmpty():
         return rows.withColumns({"fraud_probability": F.lit(0.0), "predicted_fraud": F.lit(0), **{c: F.lit("") for c in out[4:]}}).select(*out)
     name, model, threshold, ap = _best_model(rows)
-    path = work_dir(spark, "champion")
+    path = f"{work_dir(spark, 'champion')}/model"
     model.write().save(path)
     registry = scoring.Registry(spark, work_dir(spark, "registry"))
     registry.promote(name, registry.register(name, path, {"average_precision": ap, "threshold": threshold}))
@@ -139,4 +159,4 @@ def transaction_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (payment_events_stream, cdc_stream, late_stream, load_once, dataset_graph, fraud_model, transaction_scores)}
+    return {f.__name__: f for f in (payment_events_stream, cdc_stream, late_stream, load_once, dataset_graph, fraud_model, transaction_scores, model_gates, forecast_selection)}

@@ -63,7 +63,7 @@ def in_event_order(df: DataFrame, at: str, path: str, buckets: int) -> None:
     names and modification times rise with it.
     """
     aside = work_dir(df.sparkSession, "event-order")
-    df.repartitionByRange(buckets, at).withColumn("__b", F.spark_partition_id()).write.partitionBy("__b").parquet(aside)
+    df.repartitionByRange(buckets, at).withColumn("__b", F.spark_partition_id()).write.mode("overwrite").partitionBy("__b").parquet(aside)
     for b in range(buckets):  # one small job per file, so that modification times rise in order
         rows = df.sparkSession.read.schema(f"{_ddl(df)}, __b int").parquet(aside).filter(F.col("__b") == b).drop("__b")
         rows.coalesce(1).write.mode("append").parquet(path)
