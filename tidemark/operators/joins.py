@@ -25,7 +25,7 @@ def star(facts: DataFrame, dims: Sequence[tuple[str, DataFrame, str, str]]) -> D
     return out
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str], bucket_seconds: int = 86_400) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, take: Sequence[str], bucket_seconds: int = 3600) -> DataFrame:
     """The last right row per key at or before each left row's time.
 
     Time is cut into buckets.  Inside a bucket a window carries the last right row on; what

@@ -68,6 +68,7 @@ def _versioned() -> dict[str, Column]:
     return {"record_version_valid": above("record_version", 0), "source_updated_at_present": there("source_updated_at")}
 
 
+# The names of the rules below.
 def transaction_rules() -> Rules:
     return {
         **_ids("transaction_id", "account_id", "merchant_id"), "event_timestamp_present": there("event_timestamp"), "amount_positive": above("amount", 0), "currency_code_valid": matches("currency", _MONEY),

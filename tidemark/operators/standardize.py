@@ -36,6 +36,7 @@ def _same(kind: str, *names: str) -> dict[str, tuple[str, str]]:
     return {n: (kind, n) for n in names}
 
 
+# The names that standard columns have.
 EVENTS: Shape = {
     **_same("as_is", "event_id", "transaction_id", "account_id", "merchant_id"), **_same("code", "event_type", "currency", "channel", "payment_method", "transaction_status", "country", "delivery_scenario"),
     "sequence_number": ("as_is", "sequence_number"), "event_timestamp": ("ts", "event_timestamp"), "event_date": ("date", "event_timestamp"), "event_hour": ("hour", "event_timestamp"),

@@ -267,6 +267,10 @@ j AS (SELECT query_id, string_agg('[SOURCE ' || k.doc_id || ']' || chr(10) || d.
 a AS (SELECT *, 'see [SOURCE ' || docs[1] || '] and [SOURCE ' || docs[-1] || ']' AS answer FROM j),
 c AS (SELECT *, list_distinct(regexp_extract_all(answer, '\\[SOURCE ([^\\]]+)\\]', 1)) AS c1, list_distinct(regexp_extract_all(answer || ' [SOURCE none]', '\\[SOURCE ([^\\]]+)\\]', 1)) AS c2, regexp_extract_all('no source', '\\[SOURCE ([^\\]]+)\\]', 1) AS c3 FROM a)
 SELECT query_id, CAST(length(context) AS INTEGER) AS context_length, md5(context) AS context_hash, len(c1) > 0 AND list_has_all(docs, c1) AS valid, len(c2) > 0 AND list_has_all(docs, c2) AS with_foreign, len(c3) > 0 AND list_has_all(docs, c3) AS without_any FROM c"""
+    q["rag_passages"] = f"""WITH k AS ({q['keyword_topk']}), j AS (SELECT query_id, string_agg('[SOURCE ' || k.doc_id || ']' || chr(10) || d."text", chr(10) || chr(10) ORDER BY rank) AS context FROM k JOIN documents d ON d.doc_id = k.doc_id GROUP BY 1) SELECT query_id, context, CAST(length(context) AS INTEGER) AS context_length, sha256(context) AS context_hash FROM j"""
+    q["keyword_search"] = f"""WITH po AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, {words.format('"text"')} AS term FROM documents WHERE "text" IS NOT NULL) GROUP BY ALL), dl AS (SELECT id, sum(tf) AS dl FROM po GROUP BY 1), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+w AS (SELECT a.id AS query_id, po.id AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * po.tf * 2.2 / (po.tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM po a JOIN po USING (term) JOIN df USING (term) JOIN dl ON dl.id = po.id, st WHERE a.id % 20 = 0 AND a.id <> po.id GROUP BY ALL)
+SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w) WHERE rank <= 3"""
     q["evidence_view"] = f"WITH {_TX}, f AS ({inner('customer_id', 'customer')}) SELECT tx.transaction_id, CAST(tx.amount AS DOUBLE) AS amount, customer_txn_count_1d, customer_txn_count_30d FROM tx LEFT JOIN f ON f.customer_id = tx.customer_id AND f.feature_timestamp = tx.event_timestamp"
     q["quarantine_reasons"] = f"WITH {_DQ} SELECT count(DISTINCT CASE WHEN len(failed) > 0 THEN transaction_id END) AS quarantined_transactions, count(DISTINCT CASE WHEN len(failed) > 0 THEN merchant_id END) AS quarantined_merchants, count(DISTINCT CASE WHEN len(failed) = 0 THEN merchant_id END) AS valid_merchants, CAST(max(len(failed)) AS INTEGER) AS most_failures FROM dq"
     q["response_sections"] = f"WITH {_CASES} SELECT t.title, count(*) AS sections, CAST(sum(CASE WHEN t.title = 'Summary' THEN len(tools) ELSE 0 END) AS BIGINT) AS items FROM s3 JOIN tl USING (transaction_id), (VALUES ('Summary'), ('Evidence')) t(title) GROUP BY 1"
