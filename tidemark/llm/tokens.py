@@ -423,6 +423,18 @@ def encode_corpus(documents: DataFrame, ranks_path: str = DEFAULT_RANKS) -> Data
     return full.unionByName(empty)
 
 
+def decode_corpus(encoded: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
+    """``doc_id, text`` of rows of ``doc_id, ids``: the exact way back."""
+    ship(encoded.sparkSession)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(ranks_path)
+        for batch in _slices(batches):
+            yield pa.record_batch([batch["doc_id"], pa.array([enc.decode_bytes(ids).decode() for ids in batch["ids"].to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
+
+
 def count_tokens(documents: DataFrame, *keep: str, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
     """``keep`` columns and ``n_tokens`` of every row, without any shuffle."""
     ship(documents.sparkSession)
