@@ -178,8 +178,8 @@ def _probe(merchant: Column, at_us: Column) -> Column:
 def _refs(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
     """The references of all physical rows, or of each transaction once."""
     rows = table(spark, sf, "payment_transactions_enriched").select(ident("transaction_id").alias("txn"), micros("event_timestamp").alias("at_us"), F.col("event_date").cast("date").alias("period"), *[ident(c).alias(c) for c in _TABLES])
-    if once:  # copies agree in keys and times up to spelling
-        rows = rows.groupBy("txn").agg(F.min(F.struct("at_us", "period", *_TABLES)).alias("r")).select("txn", "r.*")
+    if once:  # copies agree in keys and times up to spelling; stored, as groups and doubtful references both read it
+        rows = staged(rows.groupBy("txn").agg(F.min(F.struct("at_us", "period", *_TABLES)).alias("r")).select("txn", "r.*"), "transactions-once")
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("table"), F.col(c).alias("key")) for c in _TABLES])).alias("ref")
     out = rows.select("txn", "at_us", "period", fields).select("txn", "at_us", "period", "ref.*")
     return out.withColumn("probe", _probe(F.col("table") == "merchant_id", F.col("at_us")))
