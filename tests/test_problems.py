@@ -76,6 +76,47 @@ def test_history_snapshot_rules(spark):
     assert got == {("m", "L", 1, 20), ("m", "H", 20, 30), ("m", "H", 40, OPEN), ("z", None, 10, 30), ("z", "L", 30, OPEN), ("old", "L", 1, 10)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_history_brute_force_over_many_times(spark, seed):
+    rnd = random.Random(seed)
+    times = sorted(rnd.sample(range(0, 40 * history.DAY, history.DAY // 8), 150))  # several rows of bits, several times a day
+    snaps, units = [], []
+    for e in "abc":
+        for k, t in enumerate(times):
+            version = k // 20 + 1
+            rows = [(e, t, rnd.choice([version, version, None]), rnd.choice([5, 6, None]), rnd.choice([None, False, False, False, False, True]), rnd.choice(["x", "x", "y", None])) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))]
+            snaps += rows + rows[:1]
+            if rows:
+                null_first = [tuple((v is not None, v or 0) for v in (r[2], r[3])) + ((r[5] is not None, r[5] or ""), bool(r[4])) for r in rows]
+                best = rows[null_first.index(max(null_first))]
+                if not best[4]:
+                    units.append((e, t, times[k + 1] if k + 1 < len(times) else OPEN, best[5]))
+    published = [("a", -30, None, 1, "x"), ("a", -20, -10, 1, "x"), ("a", -20, -15, 2, None), ("b", -5, None, 1, "y"), ("d", -5, times[0], 1, "x")]
+    units += [("a", -30, -20, "x"), ("a", -20, -15, None), ("b", -5, times[0], "y"), ("d", -5, times[0], "x")]
+    snap = spark.createDataFrame([*snaps, *[("z", t, 1, 1, True, "x") for t in times], (None, times[3], 1, 1, False, "x"), ("a", None, 9, 9, False, "y")], "entity string, at_us long, version int, updated_us long, gone boolean, p string")
+    pub = spark.createDataFrame(published, "entity string, start_us long, end_us long, version int, p string")
+    got = [(r.entity, r.lo_us, r.hi_us, r.p) for r in history.full_history(pub, snap, ["p"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == _runs(units)
+
+
+def test_history_reads_snapshots_twice_and_shuffles_versions(spark, tmp_path):
+    rows = spark.range(200 * 50).select(F.format_string("m%03d", F.expr("id div 50")).alias("entity"), (F.col("id") % 50 * history.DAY).alias("at_us"), F.lit(1).alias("version"), F.lit(1).cast("long").alias("updated_us"), F.lit(False).alias("gone"), F.lit("x").alias("p"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "s"))
+    pub = spark.createDataFrame([], "entity string, start_us long, end_us long, version int, p string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    seen = max([0, *(s.stageId() for s in _stages(store))])
+    assert history.full_history(pub, spark.read.parquet(str(tmp_path / "s")), ["p"]).count() == 200
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = [s for s in _stages(store) if s.stageId() > seen]
+    assert sum(s.inputRecords() for s in ran) < 2.5 * 10_000
+    assert sum(s.shuffleWriteRecords() for s in ran) < 1_000
+
+
+def _stages(store):
+    found = store.stageList(None, *[getattr(store, f"stageList$default${k}")() for k in (2, 3, 4, 5)])
+    return [found.apply(i) for i in range(found.size())]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.sampled_from([1, 2, 3, 4, None])), max_size=12), st.randoms(use_true_random=False))
 def test_change_table_any_order(spark, keys, rnd):
